@@ -87,7 +87,8 @@ def near_pairs(prints: DataFrame) -> DataFrame:
         for j in range(32):
             variants.append(F.lit((s * 32 + j) << 32).bitwiseOR(part.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << j)))))
     index = prints.select("fp", F.explode(F.array(*variants)).alias("variant"))
-    other = index.select(F.col("fp").alias("b"), "variant")
+    # 64 rows a fingerprint: never broadcast, whatever the size before the explosion suggests
+    other = index.select(F.col("fp").alias("b"), "variant").hint("merge")
     pairs = index.withColumnRenamed("fp", "a").join(other, "variant").where("a < b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     low, high = differ.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(differ, 32)
