@@ -115,7 +115,7 @@ def _scan(docs: DataFrame, phrases: dict[str, str], templates, k: int) -> DataFr
                         pa.array(uid + np.arange(n)), b.column(0).slice(i, n), pa.array(w.count.astype(np.int64)), pa.array(n_base), pa.array(first, mask=none), pa.array(last, mask=none),
                         pa.array([",".join(x for x, y in zip(labels, r) if y) for r in bits], pa.string()),
                         pa.ListArray.from_arrays(cut, pa.array((at - w.first[d]).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(g[at].view(np.int64))),
-                        pa.compute.if_else(pa.array(hit), body, pa.scalar(None, body.type)),
+                        body.take(pa.array(np.arange(n), mask=~hit)),
                     ],
                     names=[x.split()[0] for x in _SCAN.split(", ")],
                 )
