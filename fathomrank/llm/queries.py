@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomrank.llm import best_fit_packing, license_scan, quality_classifier, simhash_dedup, source_mixing, span_fingerprints, substring_dedup, toxicity
+from fathomrank.llm import best_fit_packing, language_crf, license_scan, posting_ann, quality_classifier, simhash_dedup, source_mixing, span_fingerprints, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.predict(_documents(spark, sf_dir))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_documents(spark, sf_dir))
 
@@ -47,6 +52,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(_documents(spark, sf_dir))
 
 
+def op9_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op10_span_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_fingerprints.fingerprints(_documents(spark, sf_dir))
 
