@@ -98,7 +98,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rows = rows.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     cut = (F.col("_copy") > whole) & (part > 0)
-    start = F.regexp_substr(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), part.cast("string"), F.lit("}")))
+    before_spaces = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+    start = F.array_join(F.slice(F.split("text", before_spaces), F.lit(1), F.greatest(part, F.lit(1))), "")
     return rows.withColumn("text", F.when(cut, start).otherwise(F.col("text"))).select(*columns)
 
 
