@@ -319,10 +319,11 @@ def rrf_rank_constant(spark, d):
     return _shown(search(benchmark(spark, d), K, rrf(1.0), TextScorer(c), VectorScorer(c)))
 
 
-@_register(f"with {FOUR}, {_rrf_sql([(s, 1.0) for s in _FOUR])} select f.qid, f.rank::int as rank, f.doc, round(f.score, {ROUND}) as score, " + ", ".join(f"{s[0]}.rank::int as {n}_rank" for s, n in (("t", "text"), ("v", "vector"), ("g", "graph"), ("r", "recency"))) + " from fused f "
+@_register(f"with {FOUR}, {_rrf_sql([(s, 1.0) for s in _FOUR])} select f.qid, f.rank::int as rank, f.doc, round(f.score, {ROUND}) as score, " + ", ".join(f"coalesce({s[0]}.rank, 0)::int as {n}_rank" for s, n in (("t", "text"), ("v", "vector"), ("g", "graph"), ("r", "recency"))) + " from fused f "
            + " ".join(f"left join (select qid, doc, rank from {s} where rank <= {K}) {n} on {n}.qid = f.qid and {n}.doc = f.doc" for s, n in zip(_FOUR, "tvgr")) + f" where f.rank <= {K}")
 def search_explain(spark, d):
-    return _shown(explain(benchmark(spark, d), K, fuse, *_all(spark, d)[1:]))
+    """0 stands for no rank."""
+    return _shown(explain(benchmark(spark, d), K, fuse, *_all(spark, d)[1:])).fillna(0)
 
 
 @_register(f"with {BASE}, {TEXT} {_top_sql('text_all', K)}")
