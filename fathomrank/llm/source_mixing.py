@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, kee
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mix itself: a row for each copy taken, the one cut in part with just the words taken."""
     columns = docs.columns
-    rows = mix(docs, weights, cap, keep=[c for c in columns if c != "doc_id"])
+    rows = mix(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])), weights, cap, keep=["_row"])
     rows = rows.where("taken > 0")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     part = (F.col("taken") - whole * F.col("size")).cast("int")
@@ -99,8 +99,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     rows = rows.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     cut = (F.col("_copy") > whole) & (part > 0)
     before_spaces = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
-    start = F.array_join(F.slice(F.split("text", before_spaces), F.lit(1), F.greatest(part, F.lit(1))), "")
-    return rows.withColumn("text", F.when(cut, start).otherwise(F.col("text"))).select(*columns)
+    start = F.array_join(F.slice(F.split("_row.text", before_spaces), F.lit(1), F.greatest(part, F.lit(1))), "")
+    text = F.when(cut, start).otherwise(F.col("_row.text")).alias("text")
+    return rows.select(*[text if c == "text" else F.col(f"_row.`{c}`") for c in columns])
 
 
 def oracle_sql() -> str:

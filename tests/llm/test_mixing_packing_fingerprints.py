@@ -11,7 +11,7 @@ from fathomrank.llm import source_mixing as mixing
 from fathomrank.llm import span_fingerprints as prints
 from fathomrank.llm.queries import tokenizer_path
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+DOCS = "doc_id long, text string, lang string, source string, size long, taken int"
 
 
 def rows(n=60, seed=1):
