@@ -20,7 +20,7 @@ from fathomrank.shared import global_index, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 10_000
 
 
 def word_count(text: Column) -> Column:
