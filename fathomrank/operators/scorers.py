@@ -60,6 +60,14 @@ def _emit(found: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(cat(1, np.int64), pa.int64()), pa.array(cat(2, float), pa.float64())], names=["qid", "doc", "score"])
 
 
+def _places(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and vocabulary number of every known token, and each row's number of tokens."""
+    length = np.diff(lists.offsets.to_numpy()).astype(float)
+    place = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), length.astype(np.int64))
+    return row[place >= 0], place[place >= 0], length
+
+
 class TextScorer:
     """BM25; a term repeated in the query counts each time, and documents without a term are absent."""
 
@@ -73,18 +81,33 @@ class TextScorer:
             return _none(queries)
         asked = [(r.qid, list(r.t)) for r in queries.select("qid", tokens(F.col("text")).alias("t")).collect()]  # the stated query set
         docs = self.corpus.tokenized()
-        n, total = self.corpus.stats().first()[:2]
         out = _none(queries).select("qid", "doc", "score")
         for block in _blocks([a for a in asked if a[1]]):
-            out = out.unionByName(self._scored(docs, block, n, total, k))
+            out = out.unionByName(self._scored(docs, block, k))
         return top_k(out, k)
 
-    def _scored(self, docs: DataFrame, block: list, n: int, total: int, k: int) -> DataFrame:
+    @staticmethod
+    def _frequencies(docs: DataFrame, terms: list[str]) -> dict[int, int]:
+        """Document frequency by term number; at -1 the number of documents, at -2 their tokens."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, df, n, total = pa.array(terms, pa.string()), np.zeros(len(terms), np.int64), 0, 0
+            for b in batches:
+                row, place, length = _places(b.column(1), vocabulary)
+                df += np.bincount(np.unique(place * b.num_rows + row) // max(b.num_rows, 1), minlength=len(terms))
+                n, total = n + b.num_rows, total + int(length.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *range(len(terms))]), pa.array([n, total, *df.tolist()])], names=["term", "n"])
+
+        rows = docs.mapInArrow(run, "term long, n long").where("n > 0").groupBy("term").agg(F.sum("n"))
+        return dict(map(tuple, rows.collect()))  # a row a query term
+
+    def _scored(self, docs: DataFrame, block: list, k: int) -> DataFrame:
         terms = sorted({t for _, ts in block for t in ts})
-        known = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")  # at most the block's own terms
-        df = dict(map(tuple, docs.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(known), "term").groupBy("term").count().collect()))
+        counts = self._frequencies(docs, terms)
+        n, total = counts.get(-1, 0), counts.get(-2, 0)
         number = {t: i for i, t in enumerate(terms)}
-        idf = np.array([np.log(1 + (n - min(df.get(t, 0), n) + 0.5) / (min(df.get(t, 0), n) + 0.5)) for t in terms])
+        df = np.array([min(counts.get(i, 0), n) for i in range(len(terms))], float)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         asked = [(q, [number[t] for t in ts]) for q, ts in block]
         avgdl = total / n if n else 0.0
 
@@ -93,10 +116,8 @@ class TextScorer:
             for b in batches:
                 doc, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
                 m = len(doc)
-                length = np.diff(lists.offsets.to_numpy()).astype(float)
-                place = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(m), length.astype(np.int64))
-                key, tf = np.unique((place * m + row)[place >= 0], return_counts=True)
+                row, place, length = _places(lists, vocabulary)
+                key, tf = np.unique(place * m + row, return_counts=True)
                 cut = np.searchsorted(key, np.arange(len(terms) + 1) * m)
                 size = 1 - B + B * length / avgdl if avgdl > 0 else np.ones(m)
                 at = [key[cut[t] : cut[t + 1]] - t * m for t in range(len(terms))]

@@ -23,7 +23,7 @@ from fathomrank.operators.ivf import InvertedFile, IvfVectorScorer
 from fathomrank.operators.scorers import GraphScorer, RecencyScorer, TableScorer, TextScorer, VectorScorer, no_opinion
 from fathomrank.operators.search import explain, search
 from fathomrank.operators.topk import top_k
-from fathomrank.shared import shared_dir, write_table
+from fathomrank.shared import shared_dir, spread, write_table
 from fathomrank.sources import datasets
 from fathomrank.sources.store import Store, scrub
 
@@ -49,15 +49,22 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, d: str) -> Corpus:
+def corpus(spark: SparkSession, d: str, vectors: bool = False, times: bool = False, links: bool = False) -> Corpus:
+    """The proxy corpus with the parts that a query reads; the others are null, and their tables aren't joined."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    n = docs.agg(F.coalesce(F.max("doc"), F.lit(0)) + 1).first()[0]
-    vectors = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
-    times = _table(spark, d, "events").select(F.col("event_id").alias("doc"), F.col("ts").cast("timestamp").alias("time"))
-    i = F.col("doc")
-    links = F.array(*[x.cast("string") for x in ((i * 31 + 7) % n, (i * 17 + 3) % n, i * 2 + 1)])
-    rows = docs.join(vectors, "doc", "left").join(times, "doc", "left")
-    return Corpus(rows.select("doc", i.cast("string").alias("key"), "text", "vector", links.alias("links"), "time"))
+    i, none = F.col("doc"), F.lit(None)
+    out = {"vector": none.cast("array<float>"), "time": none.cast("timestamp"), "links": none.cast("array<string>")}
+    rows = spread(docs)
+    if vectors:
+        rows = rows.join(_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), "doc", "left")
+        out["vector"] = F.col("vector")
+    if times:
+        rows = rows.join(_table(spark, d, "events").select(F.col("event_id").alias("doc"), F.col("ts").cast("timestamp").alias("time")), "doc", "left")
+        out["time"] = F.col("time")
+    if links:
+        n = docs.agg(F.coalesce(F.max("doc"), F.lit(0)) + 1).first()[0]
+        out["links"] = F.array(*[x.cast("string") for x in ((i * 31 + 7) % n, (i * 17 + 3) % n, i * 2 + 1)])
+    return Corpus(rows.select("doc", i.cast("string").alias("key"), "text", *[out[c].alias(c) for c in ("vector", "links", "time")]))
 
 
 def benchmark(spark: SparkSession, d: str, seeds: bool = False) -> DataFrame:
@@ -216,50 +223,50 @@ def bm25_postings_plan(spark, d):
 
 @_register(f"with {VECTOR} {_top_sql('vec_all')}")
 def cosine_topk(spark, d):
-    return _shown(VectorScorer(corpus(spark, d)).stream(benchmark(spark, d), K))
+    return _shown(VectorScorer(corpus(spark, d, vectors=True)).stream(benchmark(spark, d), K))
 
 
 @_register("select doc_id as doc from documents left join embeddings on vec_id = doc_id where embedding is null or list_dot_product(embedding, embedding) = 0")
 def cosine_no_opinion(spark, d):
-    return no_opinion(corpus(spark, d))
+    return no_opinion(corpus(spark, d, vectors=True))
 
 
 @_register(f"with {RECENT} {_top_sql('rec_all')}")
 def recency_topk(spark, d):
-    return _shown(RecencyScorer(corpus(spark, d), _now()).stream(benchmark(spark, d), K))
+    return _shown(RecencyScorer(corpus(spark, d, times=True), _now()).stream(benchmark(spark, d), K))
 
 
 @_register(f"with {EDGES} select src, dst from edges")
 def edges_resolved(spark, d):
-    return corpus(spark, d).edges()
+    return corpus(spark, d, links=True).edges()
 
 
 @_register(f"with {EDGES} select src, dst::varchar as key from links where dst not in (select doc_id from documents)")
 def dangling_links(spark, d):
-    return corpus(spark, d).dangling()
+    return corpus(spark, d, links=True).dangling()
 
 
 @_register(f"with {EDGES}, {OWN_SEEDS}, {HOPS} select qid, seed, doc, hop::int as hop from hops")
 def bfs_hops(spark, d):
-    g = GraphScorer(corpus(spark, d).materialized())
+    g = GraphScorer(corpus(spark, d, links=True).materialized())
     return g.hops(g.seeds(benchmark(spark, d, True)))
 
 
 @_register(f"with {BASE}, {TEXT}, {EDGES}, {TEXT_SEEDS}, {HOPS}, {GRAPH} {_top_sql('graph_all')}")
 def graph_topk(spark, d):
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, links=True).materialized()
     return _shown(GraphScorer(c, TextScorer(c)).stream(benchmark(spark, d), K))
 
 
 @_register(f"with {BASE}, {TEXT}, {EDGES}, {TEXT_SEEDS}, {HOPS}, {GRAPH.replace('graph_out', 'graph_in')} {_top_sql('graph_all')}")
 def graph_including_seeds(spark, d):
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, links=True).materialized()
     return _shown(GraphScorer(c, TextScorer(c), include_seeds=True).stream(benchmark(spark, d), K))
 
 
 @_register(f"with {EDGES}, {OWN_SEEDS}, {HOPS}, {GRAPH} {_top_sql('graph_all')}")
 def graph_explicit_seeds(spark, d):
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, links=True).materialized()
     return _shown(GraphScorer(c, TextScorer(c)).stream(benchmark(spark, d, True), K))
 
 
@@ -275,7 +282,7 @@ def custom_scorer(spark, d):
 
 
 def _all(spark, d):
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, vectors=True, times=True, links=True).materialized()
     text = TextScorer(c)
     return c, text, VectorScorer(c), GraphScorer(c, text), RecencyScorer(c, _now())
 
@@ -286,7 +293,7 @@ _FOUR = ["text_all", "vec_all", "graph_all", "rec_all"]
 
 @_register(f"with {BASE}, {TEXT}, {VECTOR}, {_rrf_sql([('text_all', 1.0), ('vec_all', 1.0)])} {_top_sql('fused')}")
 def rrf_two_streams(spark, d):
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, vectors=True).materialized()
     return _shown(search(benchmark(spark, d), K, fuse, TextScorer(c), VectorScorer(c)))
 
 
@@ -302,20 +309,20 @@ def rrf_weighted(spark, d):
 
 @_register(f"with {BASE}, {TEXT}, {_rrf_sql([('text_all', 1.0)])} {_top_sql('fused')}")
 def rrf_weight_zero(spark, d):
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, times=True).materialized()
     return _shown(search(benchmark(spark, d), K, fuse_weighted(1, 0), TextScorer(c), RecencyScorer(c, _now())))
 
 
 @_register(f"with {BASE}, {TEXT}, {RECENT}, {_rrf_sql([('text_all', 0.75), ('rec_all', 0.25)])} {_top_sql('fused')}")
 def rrf_scaled_weights(spark, d):
     """Weights above 1 are scaled by a power of two, the missing one with them."""
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, times=True).materialized()
     return _shown(search(benchmark(spark, d), K, fuse_weighted(3), TextScorer(c), RecencyScorer(c, _now())))
 
 
 @_register(f"with {BASE}, {TEXT}, {VECTOR}, {_rrf_sql([('text_all', 1.0), ('vec_all', 1.0)], 1.0)} {_top_sql('fused')}")
 def rrf_rank_constant(spark, d):
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, vectors=True).materialized()
     return _shown(search(benchmark(spark, d), K, rrf(1.0), TextScorer(c), VectorScorer(c)))
 
 
@@ -374,13 +381,13 @@ def ndcg_at_10(spark, d):
 
 @_register(f"with {ARMS_SQL} select arm, round(sum(ndcg order by qid) / count(*), {ROUND}) as mean_ndcg, count(*) as queries from runs group by arm")
 def arm_table(spark, d):
-    runs = ev.evaluate(arms(corpus(spark, d).materialized()), benchmark(spark, d), qrels(spark, d), K)
+    runs = ev.evaluate(arms(corpus(spark, d, vectors=True, links=True).materialized()), benchmark(spark, d), qrels(spark, d), K)
     return ev.summary(runs).select("arm", F.round("mean_ndcg", ROUND).alias("mean_ndcg"), "queries")
 
 
 @_register(f"with {ARMS_SQL} select a.arm, a.qid, round(a.ndcg - b.ndcg, {ROUND}) as delta from runs a join runs b using (qid) where b.arm = 'text' and a.arm <> 'text'")
 def arm_deltas(spark, d):
-    runs = write_table(ev.evaluate(arms(corpus(spark, d).materialized()), benchmark(spark, d), qrels(spark, d), K), "runs")
+    runs = write_table(ev.evaluate(arms(corpus(spark, d, vectors=True, links=True).materialized()), benchmark(spark, d), qrels(spark, d), K), "runs")
     out = None
     for arm in ("text+vector", "text+graph", "text+vector+graph", "text+vector+graph-including-seeds"):
         rows = ev.paired(runs, "text", arm).select(F.lit(arm).alias("arm"), "qid", F.round("delta", ROUND).alias("delta"))
@@ -397,7 +404,7 @@ m as (select iter, sum(delta order by place) / any_value(n)::double as m from (s
   from range({ITERATIONS}) r(iter), (select count(*) as n from deltas), lateral (select unnest(range(n)) as place)) join deltas using (i) group by iter)
 select round((select sum(delta order by qid) / count(*) from deltas), {ROUND}) as mean_delta, round(quantile_disc(m, 0.025), {ROUND}) as lo, round(quantile_disc(m, 0.975), {ROUND}) as hi, {ITERATIONS} as iterations, (select count(*) from deltas)::int as queries from m""")
 def bootstrap_ci(spark, d):
-    c, q, g = corpus(spark, d).materialized(), benchmark(spark, d), qrels(spark, d)
+    c, q, g = corpus(spark, d, vectors=True).materialized(), benchmark(spark, d), qrels(spark, d)
     both = [ev.Arm("text", (TextScorer(c),), fuse), ev.Arm("both", (TextScorer(c), VectorScorer(c)), fuse)]
     runs = write_table(ev.evaluate(both, q, g, K), "runs")
     out = ev.bootstrap(ev.paired(runs, "text", "both"), ITERATIONS)
@@ -421,7 +428,7 @@ def _sweep_sql() -> str:
 
 @_register(_sweep_sql())
 def rrf_sweep(spark, d):
-    c, q = corpus(spark, d).materialized(), benchmark(spark, d)
+    c, q = corpus(spark, d, vectors=True).materialized(), benchmark(spark, d)
     deep = K * max(OVERFETCH)
     text, vector = write_table(TextScorer(c).stream(q, deep), "sweep-text"), write_table(VectorScorer(c).stream(q, deep), "sweep-vector")
     grid = ev.sweep(q, write_table(qrels(spark, d), "qrels"), [text], [text, vector], K, CONSTANTS, OVERFETCH)
@@ -439,7 +446,7 @@ def _weights_sql() -> str:
 
 @_register(_weights_sql())
 def graph_weight_sweep(spark, d):
-    c, q = corpus(spark, d).materialized(), benchmark(spark, d)
+    c, q = corpus(spark, d, vectors=True, links=True).materialized(), benchmark(spark, d)
     text = TextScorer(c)
     streams = [write_table(s.stream(q, K), "weights") for s in (text, VectorScorer(c), GraphScorer(c, text))]
     grades, out = write_table(qrels(spark, d), "qrels"), None
@@ -460,20 +467,20 @@ def tie_diagnostics(spark, d):
 
 @_register(f"with {ARMS_SQL}, m as (select qid, b.ndcg - a.ndcg as delta from runs a join runs b using (qid) where a.arm = 'text' and b.arm = 'text+vector+graph') select qid, round(delta, {ROUND}) as delta from m order by abs(delta) desc, qid limit 10")
 def top_moves(spark, d):
-    runs = write_table(ev.evaluate(arms(corpus(spark, d).materialized()), benchmark(spark, d), qrels(spark, d), K), "runs")
+    runs = write_table(ev.evaluate(arms(corpus(spark, d, vectors=True, links=True).materialized()), benchmark(spark, d), qrels(spark, d), K), "runs")
     return ev.top_moves(ev.paired(runs, "text", "text+vector+graph"), 10).select("qid", F.round("delta", ROUND).alias("delta"))
 
 
 @_register()
 def recall_at_k(spark, d):
-    c, q = corpus(spark, d).materialized(), benchmark(spark, d)
+    c, q = corpus(spark, d, vectors=True).materialized(), benchmark(spark, d)
     index = InvertedFile.build(c, gate=0)
     return ev.recall(VectorScorer(c).stream(q, K), IvfVectorScorer(c, index, probes=8).stream(q, K))
 
 
 @_register()
 def ivf_assignment(spark, d):
-    index = InvertedFile.build(corpus(spark, d).materialized(), gate=0)
+    index = InvertedFile.build(corpus(spark, d, vectors=True).materialized(), gate=0)
     return index.lists.groupBy("list").agg(F.count("*").alias("members"), F.min("doc").alias("first_doc"))
 
 
@@ -519,7 +526,7 @@ def dominant_width(spark, d):
 select doc_id::varchar as key, v.vec_id is not null as has_vector, coalesce(n, 0)::int as n_links from documents left join embeddings v on vec_id = doc_id and len(embedding) = 64 left join (select key, count(distinct dst) as n from cites group by key) c on c.key = doc_id::varchar""")
 def corpus_from_records(spark, d):
     """Corpus joined to cached records: vectors of the dominant width, citations inside the corpus."""
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, vectors=True, links=True).materialized()
     records = c.docs.select("key", F.col("key").alias("corpus_id"), F.col("links").alias("refs"), F.col("vector").alias("vec"), F.lit("m").alias("model"))
     width = datasets.dominant_width(records).first()
     rows = datasets.join_records(c.docs.select("key", "text"), records, width.width if width else 0)
@@ -528,7 +535,7 @@ def corpus_from_records(spark, d):
 
 @_register("select count(*) as documents, 0::bigint as repeated_keys, 0::bigint as missing_ids, 0::bigint as extra_widths, 0::bigint as lost_postings from documents")
 def scrub_report(spark, d):
-    return scrub(corpus(spark, d).materialized())
+    return scrub(corpus(spark, d, vectors=True, links=True).materialized())
 
 
 @_register("select count(*) as documents, count(*) as same, max(doc_id) as last_doc from documents")
@@ -536,7 +543,7 @@ def commit_merge_roundtrip(spark, d):
     """Documents committed in nine generations, merged and opened: every row as it was, numbers kept."""
     import uuid
 
-    c = corpus(spark, d).materialized()
+    c = corpus(spark, d, vectors=True, times=True, links=True).materialized()
     n = c.docs.count()
     store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:8]}")
     for i in range(9):

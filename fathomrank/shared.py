@@ -54,6 +54,12 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores where the input has fewer splits than there are cores; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def global_index(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
     """Dense positions from 0 in a global order, without a single-task sort.
 
