@@ -7,6 +7,11 @@ as pairs, verified by the exact Jaccard index of their shingle sets, and cluster
 components; in each cluster the first paragraph by (doc_id, place) stays and the others go.
 ``tune_bands`` picks the fewest bands that find a pair at the threshold with the wanted recall.
 
+A passage may also stand inside lines that differ otherwise. So the lines that stay are cut into
+blocks where a word trigram's hash is the least of its neighbourhood, which depends on nearby
+words alone; equal blocks are one class, and a run of repeated blocks of at least ``MIN_RUN`` words
+is a repeated passage too.
+
 Defined results: null, empty and short texts have no paragraph to remove; repeated rows are copies
 of each other, so only one keeps its paragraphs; a null doc_id sorts last; an empty table gives no
 rows; other columns are ignored (``deduplicated`` keeps them and drops documents left without text).
@@ -18,14 +23,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fathomrank.llm.kernels import LETTER, LOWER, Prefix, Words, chunks, grams, mix, powers
 from fathomrank.shared import connected_components, join_by_class, write_table
 
 MIN_WORDS, THRESHOLD, RECALL, SHINGLE = 30, 0.7, 0.97, 3
+#: Words on either side that decide where a block ends; the fewest words of a block and of a run that count.
+RADIUS, MIN_BLOCK, MIN_RUN = 6, 6, 20
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
@@ -38,8 +47,8 @@ def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def scan(buf: np.ndarray, offs: np.ndarray, min_words: int, bands: int, rows: int) -> dict[str, np.ndarray]:
-    """The paragraphs of a chunk: doc, paragraph, start, length (code points), n_words, cid, bands."""
+def _lines(buf: np.ndarray, offs: np.ndarray, min_words: int):
+    """Word hashes of a chunk, its long lines (doc, number, begin, end, first and end word), code points before each byte."""
     low = LOWER[buf]
     words = Words(low, offs, LETTER)
     h = Prefix(low).span(words.start, words.end)
@@ -57,9 +66,42 @@ def scan(buf: np.ndarray, offs: np.ndarray, min_words: int, bands: int, rows: in
     begin, end, doc, number, w0, w1 = (x[keep] for x in (begin, end, doc, number, w0, w1))
     chars = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
+    return h, words, doc, number, begin, end, w0, w1, chars
+
+
+def _along(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums that hash any run of words."""
     r, inv = powers(len(h))
     along = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * r[: len(h)], out=along[1:])
+    return along, inv
+
+
+def blocks_of(buf: np.ndarray, offs: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
+    """The blocks of a chunk's long lines: doc, paragraph, block, start, length (code points), n_words, cid."""
+    h, words, doc, number, begin, end, w0, w1, chars = _lines(buf, offs, min_words)
+    g = grams(h, SHINGLE)
+    least = np.concatenate([np.full(RADIUS, ~np.uint64(0)), g, np.full(RADIUS + SHINGLE - 1, ~np.uint64(0))])
+    least = np.min([least[j : j + len(h)] for j in range(2 * RADIUS + 1)], axis=0) if len(g) else np.zeros(0, np.uint64)
+    cut = np.flatnonzero(g == least[: len(g)]) + 1
+    line = np.searchsorted(w0, cut, side="right") - 1
+    inside = (line >= 0) & (cut < w1[np.maximum(line, 0)]) if len(w0) else np.zeros(len(cut), bool)
+    first = np.sort(np.unique(np.concatenate([w0, cut[inside]])))
+    line = np.searchsorted(w0, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(h)), w1[line]) if len(first) else first
+    block = np.arange(len(first)) - np.searchsorted(line, line)
+    along, inv = _along(h)
+    cid = mix((along[last] - along[first]) * inv[first] + (last - first).astype(np.uint64))
+    keep = last - first >= MIN_BLOCK
+    first, last, line, block, cid = (x[keep] for x in (first, last, line, block, cid))
+    s, e = chars[words.start[first]], chars[words.end[last - 1]]
+    return {"doc": doc[line], "paragraph": number[line], "block": block, "start": s - chars[offs[doc[line]]], "length": e - s, "n_words": last - first, "cid": cid.view(np.int64)}
+
+
+def scan(buf: np.ndarray, offs: np.ndarray, min_words: int, bands: int, rows: int) -> dict[str, np.ndarray]:
+    """The paragraphs of a chunk: doc, paragraph, start, length (code points), n_words, cid, bands."""
+    h, _, doc, number, begin, end, w0, w1, chars = _lines(buf, offs, min_words)
+    along, inv = _along(h)
     cid = mix((along[w1] - along[w0]) * inv[w0] + (w1 - w0).astype(np.uint64))
     sig = np.zeros((len(doc), bands), np.uint64)
     if len(doc):
@@ -95,6 +137,43 @@ def paragraphs(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFr
     return _source(docs).mapInArrow(run, PARAGRAPH + ", bands array<long>")
 
 
+def blocks(docs: DataFrame, min_words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, offs in chunks(b.column(2)):
+                p = blocks_of(buf, offs, min_words)
+                at = pa.array(p["doc"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i).take(at), b.column(1).slice(i, j - i).take(at), *[pa.array(p[c].astype(np.int32)) for c in ("paragraph", "block", "start", "length", "n_words")], pa.array(p["cid"])],
+                    names=["doc_id", "thash", "paragraph", "block", "start", "length", "n_words", "cid"],
+                )
+
+    return _source(docs).mapInArrow(run, "doc_id long, thash long, paragraph int, block int, start int, length int, n_words int, cid long")
+
+
+def passages(docs: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
+    """Runs of repeated blocks in the lines that aren't in ``gone`` (doc_id, thash, paragraph), in the columns of ``repeated``."""
+    every = write_table(blocks(docs, min_words), "substring-blocks")
+    counts = every.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1")
+    counts = write_table(counts, "substring-block-counts")
+    twice = join_by_class(every, counts, "cid", "n", every.count()).drop("n")
+    out = gone.select(F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), F.col("paragraph").alias("_p")).distinct()
+    lost = twice["doc_id"].eqNullSafe(out["_d"]) & (twice["thash"] == out["_t"]) & (twice["paragraph"] == out["_p"])
+    left = write_table(twice.join(out, lost, "left_anti").distinct(), "substring-left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "thash", "paragraph", "block")).alias("first")
+    again = write_table(left.groupBy("cid").agg(F.count("*").alias("n"), first).where("n > 1"), "substring-again")
+    rows = join_by_class(left, again, "cid", "n", left.count())
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.thash") == F.col("thash")) & (F.col("first.paragraph") == F.col("paragraph")) & (F.col("first.block") == F.col("block"))
+    rows = rows.withColumn("keep", same)
+    order = Window.partitionBy("doc_id", "thash", "paragraph", "keep").orderBy("block")
+    rows = rows.withColumn("_run", F.col("block") - F.row_number().over(order))
+    found = rows.groupBy("doc_id", "thash", "paragraph", "keep", "_run").agg(
+        F.min("start").cast("long").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("length"),
+        F.sum("n_words").cast("int").alias("n_words"), F.min_by("cid", "block").alias("cluster_id"), F.min_by("first.doc_id", "block").alias("keeper_doc_id"),
+    )
+    return found.where(F.col("n_words") >= MIN_RUN).select("doc_id", "thash", "paragraph", "start", "length", "n_words", "cluster_id", "keep", "keeper_doc_id")
+
+
 def _texts(docs: DataFrame, min_words: int) -> DataFrame:
     """cid and text of every paragraph."""
 
@@ -142,8 +221,8 @@ def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int, thresho
     return _verified(pairs.select("a", "b", "x", "y"), threshold)
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The paragraphs that occur more than once: one row an occurrence.
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The lines that occur more than once: one row an occurrence.
 
     Columns: doc_id, thash, paragraph (line number), start and length in code points, n_words,
     cluster_id, keep (the first of its cluster), keeper_doc_id.
@@ -164,14 +243,42 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     return rows_.withColumn("_n", F.row_number().over(one)).select("doc_id", "thash", "paragraph", "start", "length", "n_words", "cluster_id", (same & (F.col("_n") == 1)).alias("keep"), F.col("keeper.doc_id").alias("keeper_doc_id"))
 
 
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The passages that occur more than once, whole lines and runs inside lines: one row an occurrence.
+
+    The columns are those of ``repeated_lines`` and whole, whether the passage is a whole line.
+    """
+    lines = write_table(repeated_lines(docs, min_words, threshold, recall), "substring-found")
+    inside = passages(docs, lines.where("not keep"), min_words)
+    return lines.withColumn("whole", F.lit(True)).unionByName(inside.withColumn("whole", F.lit(False)))
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without their spans (start, length, whole); a whole line goes with its line break."""
+
+    def one(t: str, cuts) -> str:
+        if t is None or cuts is None:
+            return t
+        out, at = [], 0
+        for c in sorted(cuts, key=lambda c: (c["start"], -c["length"])):
+            s, e = c["start"], c["start"] + c["length"]
+            if c["whole"]:
+                e = e + 1 if e < len(t) else e
+            out.append(t[at : max(at, s)])
+            at = max(at, e)
+        kept = "".join(out) + t[at:]
+        return kept[:-1] if kept.endswith("\n") and not t.endswith("\n") else kept
+
+    return pd.Series([one(t, c) for t, c in zip(text, spans)], dtype=object)
+
+
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The documents without their repeated paragraphs; one left blank by that is dropped."""
+    """The documents without their repeated passages; one left blank by that is dropped."""
     columns = docs.columns
-    gone = repeated(docs, **how).where("not keep").groupBy("doc_id", "thash", "paragraph").agg(F.count("*").alias("n"))
-    gone = gone.groupBy("doc_id", "thash").agg(F.collect_list("paragraph").alias("_gone"), F.max("n").alias("_n"))
-    gone = gone.withColumnRenamed("doc_id", "_id").withColumnRenamed("thash", "_hash")
+    gone = repeated(docs, **how).where("not keep").select("doc_id", "thash", "start", "length", "whole").distinct()
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "length", "whole")).alias("_gone"))
     rows = docs.withColumn("_h", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (rows["_h"] == gone["_hash"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    rows = rows.withColumn("text", _without("text", "_gone"))
     return rows.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*columns)

@@ -55,7 +55,7 @@ def brute(rows):
 
 
 def test_repeats_against_brute_force(spark, corpus):
-    got = sd.repeated(spark.createDataFrame(corpus, DOCS).repartition(4)).toPandas()
+    got = sd.repeated_lines(spark.createDataFrame(corpus, DOCS).repartition(4)).toPandas()
     got["doc_id"] = got.doc_id.fillna(-1).astype(int)
     want = brute(corpus)
     assert sorted(sorted((r.doc_id, r.paragraph) for r in g.itertuples()) for _, g in got.groupby("cluster_id")) == sorted(sorted((d, n) for _, d, n, _ in g) for g in want)
@@ -75,6 +75,24 @@ def test_only_the_first_of_a_cluster_stays_in_the_text(spark, corpus):
     assert texts[100] is None and texts[101] == "" and texts[102] == "\n\n" and 103 not in texts and None not in texts
 
 
+def test_passages_inside_lines(spark):
+    passage, other = line(70), line(55)
+    rows = [(i, f"{line(R.randrange(3, 60))} {passage if i % 2 else other} {line(R.randrange(3, 60))}", "x", 1) for i in range(12)]
+    rows += [(20, "x " * 3 + passage, "x", 1), (21, line(90), "x", 1), (22, line(40) + "\n" + line(40), "x", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sd.repeated(docs).toPandas()
+    assert set(got.doc_id) == {*range(12), 20} and set(got[got.keep].doc_id) == {0, 1}
+    for r in got.itertuples():
+        cut = rows[[d for d, *_ in rows].index(r.doc_id)][1][r.start : r.start + r.length]
+        assert cut in (passage if r.doc_id % 2 or r.doc_id == 20 else other) and len(cut.split()) == r.n_words >= 20
+    left = {r.doc_id: r.text for r in sd.deduplicated(docs).collect()}
+    assert len(left) == len(rows) and left[21] == rows[-2][1] and left[0] == rows[0][1]
+    for d in (3, 5, 7, 9, 11):
+        words = rows[d][1].split()
+        kept = iter(words)
+        assert len(left[d].split()) <= len(words) - 20 and all(w in kept for w in left[d].split())
+
+
 def test_bands_reach_the_recall():
     b, r = sd.tune_bands(0.7, 0.97)
     assert 1 - (1 - 0.7**r) ** b >= 0.97 > 1 - (1 - 0.7**r) ** (b - 1)
