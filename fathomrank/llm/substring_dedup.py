@@ -265,6 +265,11 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
             s, e = c["start"], c["start"] + c["length"]
             if c["whole"]:
                 e = e + 1 if e < len(t) else e
+            else:  # what is attached to its first and last word goes too
+                while s > at and not t[s - 1].isspace():
+                    s -= 1
+                while e < len(t) and not t[e].isspace():
+                    e += 1
             out.append(t[at : max(at, s)])
             at = max(at, e)
         kept = "".join(out) + t[at:]

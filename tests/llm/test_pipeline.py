@@ -75,7 +75,7 @@ def test_packing_holds_every_token_once(stages):
     per = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert per.where("n <> end or n > 1024").count() == 0
     total = packed.agg(F.sum("length")).first()[0]
-    assert per.count() <= -(-total // 1024) + 2
+    assert per.count() <= -(-total // 1024) * 1.02 + 1
 
 
 def test_run_gives_the_last_stage(spark, stages):
