@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pred, score, words = [], [], []
-            for i, j, buf, offs in chunks(b.column(2)):
+            for i, j, buf, offs in chunks(b.column(2), 1 << 20):  # many chains advance together
                 if not m:
                     pred.append(np.zeros(j - i, int)), score.append(np.zeros(j - i)), words.append(np.zeros(j - i, int))
                     continue
@@ -267,7 +267,7 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, offs in chunks(b.column(2)):
+            for i, j, buf, offs in chunks(b.column(2), 1 << 20):  # many chains advance together
                 w, gamma = _probabilities(model, buf, offs)
                 best = gamma.argmax(axis=1)
                 new = np.ones(len(best), bool)

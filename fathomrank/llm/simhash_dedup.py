@@ -32,6 +32,7 @@ from fathomrank.shared import connected_components, join_by_class, write_table
 #: For each byte value, its 8 bits spread over 8 byte lanes of one word.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 BLOCK = 255  # a lane counts that far
+GROUP = 64  # documents whose hashes are held at once
 
 
 def shingle_hashes(text: str, k: int = 3, seed: int = 42) -> np.ndarray:
@@ -72,7 +73,9 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, keep: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = simhash([shingle_hashes(t.as_py() or "", k, seed) for t in b.column(b.num_columns - 1)])
+            texts = b.column(b.num_columns - 1)
+            parts = [simhash([shingle_hashes(t.as_py() or "", k, seed) for t in texts.slice(i, GROUP)]) for i in range(0, len(texts), GROUP)]
+            fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
