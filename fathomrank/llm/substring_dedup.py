@@ -35,6 +35,7 @@ from fathomrank.shared import connected_components, join_by_class, write_table
 MIN_WORDS, THRESHOLD, RECALL, SHINGLE = 30, 0.7, 0.97, 3
 #: Words on either side that decide where a block ends; the fewest words of a block and of a run that count.
 RADIUS, MIN_BLOCK, MIN_RUN = 6, 6, 20
+PAIRS = 256  # pairs whose shingle sets are held at once
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
@@ -194,7 +195,7 @@ def shingles(line: bytes) -> set[tuple[bytes, ...]]:
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, PAIRS) for whole in batches for i in range(0, whole.num_rows, PAIRS)):
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             sets: dict[int, set] = {}
             good = []
