@@ -103,7 +103,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row a distinct fingerprint: fp, n, n_near, component; the links a, b between them)."""
+    """(one row a distinct fingerprint: fp, n, n_near, component_id, root, which names the component; the links a, b between them)."""
     groups = write_table(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "simhash-classes")
     links = write_table(near_pairs(groups.select("fp")), "simhash-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -111,7 +111,7 @@ def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = connected_components(links, "simhash-components").withColumnRenamed("node", "fp")
     linked = groups.join(near, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = linked.join(least, "root").select("fp", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
+    out = linked.join(least, "root").select("fp", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id", "root")
     return write_table(out, "simhash-near"), links
 
 
@@ -130,7 +130,7 @@ def near_deduplicated(docs: DataFrame) -> DataFrame:
     near, _ = classes(prints)
     joined = join_by_class(prints, near, "fp", "n", prints.count())
     # the keeper of a component: a grouped minimum, combined before the shuffle; ids may repeat, so the text's hash is part of it
-    keeper = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_h")).alias("k"))
+    keeper = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_h")).alias("k"))
     keeper = keeper.select(F.col("k.doc_id").alias("doc_id"), F.col("k._h").alias("_h"))
     rows = docs.withColumn("_h", F.xxhash64("text"))
     match = rows["doc_id"].eqNullSafe(keeper["doc_id"]) & (rows["_h"] == keeper["_h"])

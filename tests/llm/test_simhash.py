@@ -84,6 +84,13 @@ def test_one_document_of_each_component_stays(spark):
     assert sorted(got.doc_id.fillna(-1).astype(int)) == sorted(want)
 
 
+def test_components_without_id_or_with_the_same_id_stay_apart(spark):
+    texts = [" ".join(f"{chr(97 + i)}{j * (i + 3) % 47}" for j in range(60)) for i in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[0]), (7, texts[2])]
+    got = sh.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted(texts)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert sh.near_duplicates(docs).count() == 0 and sh.near_deduplicated(docs).count() == 0
