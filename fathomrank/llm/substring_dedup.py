@@ -7,10 +7,11 @@ as pairs, verified by the exact Jaccard index of their shingle sets, and cluster
 components; in each cluster the first paragraph by (doc_id, place) stays and the others go.
 ``tune_bands`` picks the fewest bands that find a pair at the threshold with the wanted recall.
 
-A passage may also stand inside lines that differ otherwise. So the lines that stay are cut into
-blocks where a word trigram's hash is the least of its neighbourhood, which depends on nearby
-words alone; equal blocks are one class, and a run of repeated blocks of at least ``MIN_RUN`` words
-is a repeated passage too.
+A passage may also stand inside lines that differ otherwise, or run over line breaks. So every window of
+``MIN_RUN`` words of a document, where a line break is white space like any other, goes if the same
+words stand at an earlier place outside the lines that went. Each window names a seed in it (its run of
+``SEED`` words with the least hash); only windows whose seed occurs again are compared, and equal
+windows have equal seeds, so none is missed. A window that only arises where a passage was cut out isn't looked for.
 
 Defined results: null, empty and short texts have no paragraph to remove; repeated rows are copies
 of each other, so only one keeps its paragraphs; a null doc_id sorts last; an empty table gives no
@@ -33,8 +34,8 @@ from fathomrank.llm.kernels import LETTER, LOWER, Prefix, Words, chunks, grams,
 from fathomrank.shared import connected_components, join_by_class, write_table
 
 MIN_WORDS, THRESHOLD, RECALL, SHINGLE = 30, 0.7, 0.97, 3
-#: Words on either side that decide where a block ends; the fewest words of a block and of a run that count.
-RADIUS, MIN_BLOCK, MIN_RUN = 6, 6, 20
+#: The fewest words of a run that counts; words of a seed.
+MIN_RUN, SEED = 20, 10
 PAIRS = 256  # pairs whose shingle sets are held at once
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
@@ -78,25 +79,33 @@ def _along(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return along, inv
 
 
-def blocks_of(buf: np.ndarray, offs: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
-    """The blocks of a chunk's long lines: doc, paragraph, block, start, length (code points), n_words, cid."""
-    h, words, doc, number, begin, end, w0, w1, chars = _lines(buf, offs, min_words)
-    g = grams(h, SHINGLE)
-    least = np.concatenate([np.full(RADIUS, ~np.uint64(0)), g, np.full(RADIUS + SHINGLE - 1, ~np.uint64(0))])
-    least = np.min([least[j : j + len(h)] for j in range(2 * RADIUS + 1)], axis=0) if len(g) else np.zeros(0, np.uint64)
-    cut = np.flatnonzero(g == least[: len(g)]) + 1
-    line = np.searchsorted(w0, cut, side="right") - 1
-    inside = (line >= 0) & (cut < w1[np.maximum(line, 0)]) if len(w0) else np.zeros(len(cut), bool)
-    first = np.sort(np.unique(np.concatenate([w0, cut[inside]])))
-    line = np.searchsorted(w0, first, side="right") - 1
-    last = np.minimum(np.append(first[1:], len(h)), w1[line]) if len(first) else first
-    block = np.arange(len(first)) - np.searchsorted(line, line)
-    along, inv = _along(h)
-    cid = mix((along[last] - along[first]) * inv[first] + (last - first).astype(np.uint64))
-    keep = last - first >= MIN_BLOCK
-    first, last, line, block, cid = (x[keep] for x in (first, last, line, block, cid))
-    s, e = chars[words.start[first]], chars[words.end[last - 1]]
-    return {"doc": doc[line], "paragraph": number[line], "block": block, "start": s - chars[offs[doc[line]]], "length": e - s, "n_words": last - first, "cid": cid.view(np.int64)}
+def places(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
+    """The words of a chunk: hash h, doc, word (number in the document), paragraph (line number), start and end (code points)."""
+    low = LOWER[buf]
+    words = Words(low, offs, LETTER)
+    chars = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
+    breaks = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(buf == 10, out=breaks[1:])
+    begin = offs[words.doc]
+    return {
+        "h": Prefix(low).span(words.start, words.end), "doc": words.doc, "word": np.arange(len(words.start)) - words.first[words.doc],
+        "paragraph": breaks[words.start] - breaks[begin], "start": chars[words.start] - chars[begin], "end": chars[words.end] - chars[begin],
+    }
+
+
+def windows_of(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window of MIN_RUN words inside a document, first word of its seed, hashes of the seeds at all words).
+
+    The seed is the first of the window's runs of SEED words with the least hash, so equal windows have equal seeds.
+    """
+    g = grams(p["h"], SEED)
+    n = len(p["h"]) - MIN_RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), g
+    at = np.flatnonzero(p["doc"][:n] == p["doc"][MIN_RUN - 1 :])
+    least = np.lib.stride_tricks.sliding_window_view(g, MIN_RUN - SEED + 1).argmin(axis=1)
+    return at, at + least[at], g
 
 
 def scan(buf: np.ndarray, offs: np.ndarray, min_words: int, bands: int, rows: int) -> dict[str, np.ndarray]:
@@ -138,41 +147,111 @@ def paragraphs(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFr
     return _source(docs).mapInArrow(run, PARAGRAPH + ", bands array<long>")
 
 
-def blocks(docs: DataFrame, min_words: int) -> DataFrame:
+def seeds(docs: DataFrame) -> DataFrame:
+    """The seeds of all windows; paragraph is null where one runs over a line break."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in chunks(b.column(2)):
-                p = blocks_of(buf, offs, min_words)
-                at = pa.array(p["doc"])
+                p = places(buf, offs)
+                _, seed, g = windows_of(p)
+                seed = np.unique(seed)
+                at, line = pa.array(p["doc"][seed]), p["paragraph"][seed]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i).take(at), b.column(1).slice(i, j - i).take(at), *[pa.array(p[c].astype(np.int32)) for c in ("paragraph", "block", "start", "length", "n_words")], pa.array(p["cid"])],
-                    names=["doc_id", "thash", "paragraph", "block", "start", "length", "n_words", "cid"],
+                    [b.column(0).slice(i, j - i).take(at), b.column(1).slice(i, j - i).take(at), pa.array(p["word"][seed].astype(np.int32)), pa.array(line.astype(np.int32), mask=line != p["paragraph"][seed + SEED - 1]), pa.array(g[seed].view(np.int64))],
+                    names=["doc_id", "thash", "word", "paragraph", "seed"],
                 )
 
-    return _source(docs).mapInArrow(run, "doc_id long, thash long, paragraph int, block int, start int, length int, n_words int, cid long")
+    return _source(docs).mapInArrow(run, "doc_id long, thash long, word int, paragraph int, seed long")
+
 
+def windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The windows whose seed is in ``marks`` (doc_id, thash, seeds, gone, copies) and that have a word outside the lines in gone.
 
-def passages(docs: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
-    """Runs of repeated blocks in the lines that aren't in ``gone`` (doc_id, thash, paragraph), in the columns of ``repeated``."""
-    every = write_table(blocks(docs, min_words), "substring-blocks")
-    counts = every.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1")
-    counts = write_table(counts, "substring-block-counts")
-    twice = join_by_class(every, counts, "cid", "n", every.count()).drop("n")
-    out = gone.select(F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), F.col("paragraph").alias("_p")).distinct()
+    Columns: doc_id, thash, word, paragraph, start, length, n_words, hash, whole (no word lies in those lines). A text
+    of MIN_RUN words that has copies gives a row for itself too, at word -1.
+    """
+    names = ["doc_id", "thash", "word", "paragraph", "start", "length", "n_words", "hash", "whole"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, offs in chunks(b.column(2)):
+                p = places(buf, offs)
+                at, seed, _ = windows_of(p)
+                first = np.searchsorted(p["doc"], np.arange(j - i + 1))
+                hit, out = np.zeros(len(p["h"]), bool), np.zeros(len(p["h"]), bool)
+                texts = []
+                for d in range(j - i):
+                    wanted, gone, copies = (b.column(c)[i + d].as_py() for c in (3, 4, 5))
+                    hit[first[d] + np.array(wanted or [], np.int64)] = True
+                    if gone:
+                        out[first[d] : first[d + 1]] = np.isin(p["paragraph"][first[d] : first[d + 1]], gone)
+                    if copies and first[d + 1] - first[d] >= MIN_RUN:
+                        texts.append(d)
+                lost = np.concatenate([[0], np.cumsum(out)])
+                take = hit[seed] & (lost[at + MIN_RUN] - lost[at] < MIN_RUN)
+                at = at[take]
+                along, inv = _along(p["h"])
+                last = at + MIN_RUN - 1
+                t = np.array(texts, np.int64)
+                a, z = first[t], first[t + 1] - 1
+                rows = {
+                    "word": np.append(p["word"][at], np.full(len(t), -1)), "paragraph": np.append(p["paragraph"][at], p["paragraph"][a]), "start": np.append(p["start"][at], p["start"][a]),
+                    "length": np.append(p["end"][last] - p["start"][at], p["end"][z] - p["start"][a]), "n_words": np.append(np.full(len(at), MIN_RUN), z - a + 1),
+                }
+                h = np.append(mix((along[at + MIN_RUN] - along[at]) * inv[at]), mix((along[z + 1] - along[a]) * inv[a])).view(np.int64)
+                doc = pa.array(np.append(p["doc"][at], t))
+                whole = np.append(lost[at + MIN_RUN] == lost[at], np.ones(len(t), bool))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(doc), b.column(1).slice(i, j - i).take(doc), *[pa.array(x.astype(np.int32)) for x in rows.values()], pa.array(h), pa.array(whole)], names=names)
+
+    source, keys = _source(docs), marks.select(F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), "seeds", "gone", "copies")
+    rows = source.join(keys, source["doc_id"].eqNullSafe(keys["_d"]) & (source["thash"] == keys["_t"])).select("doc_id", "thash", "text", "seeds", "gone", "copies")
+    return rows.mapInArrow(run, "doc_id long, thash long, word int, paragraph int, start int, length int, n_words int, hash long, whole boolean")
+
+
+def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Runs of at least MIN_RUN words that occur before, in the columns of ``repeated``.
+
+    A window stays where it stands first outside the lines in ``gone`` (doc_id, thash, paragraph) and goes at every
+    later place. So what a removed word repeats stands earlier, and the first such place is never removed.
+    """
+    every = write_table(seeds(docs), "substring-seeds")
+    counts = write_table(every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "substring-seed-counts")
+    twice = join_by_class(every, counts, "seed", "n", every.count()).drop("n")
+    out = gone.select(F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), F.col("paragraph").alias("_p"))
     lost = twice["doc_id"].eqNullSafe(out["_d"]) & (twice["thash"] == out["_t"]) & (twice["paragraph"] == out["_p"])
     left = write_table(twice.join(out, lost, "left_anti").distinct(), "substring-left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "thash", "paragraph", "block")).alias("first")
-    again = write_table(left.groupBy("cid").agg(F.count("*").alias("n"), first).where("n > 1"), "substring-again")
-    rows = join_by_class(left, again, "cid", "n", left.count())
-    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.thash") == F.col("thash")) & (F.col("first.paragraph") == F.col("paragraph")) & (F.col("first.block") == F.col("block"))
-    rows = rows.withColumn("keep", same)
-    order = Window.partitionBy("doc_id", "thash", "paragraph", "keep").orderBy("block")
-    rows = rows.withColumn("_run", F.col("block") - F.row_number().over(order))
-    found = rows.groupBy("doc_id", "thash", "paragraph", "keep", "_run").agg(
-        F.min("start").cast("long").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("length"),
-        F.sum("n_words").cast("int").alias("n_words"), F.min_by("cid", "block").alias("cluster_id"), F.min_by("first.doc_id", "block").alias("keeper_doc_id"),
+    again = write_table(left.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "substring-again")
+    hits = join_by_class(left, again, "seed", "n", left.count()).select("doc_id", "thash", "word", F.lit(None).cast("int").alias("line"), F.lit(0).alias("row"))
+    # a text's lines that are gone matter only where it has seeds
+    lines = gone.select("doc_id", "thash", F.lit(None).cast("int").alias("word"), F.col("paragraph").alias("line"), F.lit(0).alias("row"))
+    copied = _source(docs).select("doc_id", "thash", F.lit(None).cast("int").alias("word"), F.lit(None).cast("int").alias("line"), F.lit(1).alias("row"))
+    marks = hits.unionByName(lines).unionByName(copied).groupBy("doc_id", "thash").agg(F.collect_list("word").alias("seeds"), F.collect_list("line").alias("gone"), (F.sum("row") > 1).alias("copies"))
+    marks = write_table(marks.where((F.size("seeds") > 0) | F.col("copies")), "substring-marks")
+    found = write_table(windows(docs, marks), "substring-windows")
+    # null ids sort last; no field is null, so places compare as a whole
+    place = F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("d"), "thash", "word")
+    run = found.where("word >= 0").withColumn("place", place)
+    ends = run.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.when(F.col("whole"), F.col("place"))).alias("first"), F.max("place").alias("last"))
+    ends = write_table(ends.where("first < last"), "substring-ends")
+    rows = join_by_class(run, ends, "hash", "n", run.count()).where("place >= first")
+    rows = rows.withColumn("keep", F.expr("place = first")).withColumn("keeper", F.expr("if(first.x, null, first.d)"))
+    order = Window.partitionBy("doc_id", "thash", "keep").orderBy("word")
+    rows = rows.withColumn("_new", F.when(F.col("word") - F.lag("word").over(order) <= 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    rows = rows.groupBy("doc_id", "thash", "keep", "_run").agg(
+        F.min_by("paragraph", "word").alias("paragraph"), F.min("start").cast("long").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("length"),
+        (F.max("word") - F.min("word") + MIN_RUN).cast("int").alias("n_words"), F.min_by("hash", "word").alias("cluster_id"), F.min_by("keeper", "word").alias("keeper_doc_id"),
     )
-    return found.where(F.col("n_words") >= MIN_RUN).select("doc_id", "thash", "paragraph", "start", "length", "n_words", "cluster_id", "keep", "keeper_doc_id")
+    one = Window.partitionBy("doc_id", "thash").orderBy("hash")
+    copies = found.where("word < 0").withColumn("keep", F.row_number().over(one) == 1)
+    names = ("doc_id", "thash", "paragraph", "start", "length", "n_words", "cluster_id", "keep", "keeper_doc_id")
+    copies = copies.select("doc_id", "thash", "paragraph", F.col("start").cast("long"), F.col("length").cast("long"), "n_words", F.col("hash").alias("cluster_id"), "keep", F.col("doc_id").alias("keeper_doc_id"))
+    return rows.select(*names).unionByName(copies)
+
+
+def _lost(found: DataFrame, *what: str) -> DataFrame:
+    """(doc_id, thash and ``what`` of the occurrences that go, first: whether they go from the first of equal rows too)."""
+    return found.groupBy("doc_id", "thash", *what).agg((~F.max("keep")).alias("first"), F.min("keep").alias("_stays")).where("not _stays").drop("_stays")
 
 
 def _texts(docs: DataFrame, min_words: int) -> DataFrame:
@@ -245,12 +324,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The passages that occur more than once, whole lines and runs inside lines: one row an occurrence.
+    """The passages that occur more than once, whole lines and runs of words: one row an occurrence.
 
-    The columns are those of ``repeated_lines`` and whole, whether the passage is a whole line.
+    The columns are those of ``repeated_lines`` and whole, whether the passage is a whole line. A run has the number of
+    the line where it begins and may reach over later lines, also over such as go as whole lines. Rows equal in doc_id
+    and text have equal spans; where some say keep and some don't, the first of them keeps it.
     """
     lines = write_table(repeated_lines(docs, min_words, threshold, recall), "substring-found")
-    inside = passages(docs, lines.where("not keep"), min_words)
+    inside = passages(docs, _lost(lines, "paragraph").where("first"))
     return lines.withColumn("whole", F.lit(True)).unionByName(inside.withColumn("whole", F.lit(False)))
 
 

@@ -93,6 +93,43 @@ def test_passages_inside_lines(spark):
         assert len(left[d].split()) <= len(words) - 20 and all(w in kept for w in left[d].split())
 
 
+def windows(text):
+    w = [m.group() for m in sd.WORD.finditer((text or "").encode().lower())]
+    return [tuple(w[i : i + sd.MIN_RUN]) for i in range(len(w) - sd.MIN_RUN + 1)]
+
+
+def test_runs_over_lines_against_brute_force(spark):
+    r = random.Random(8)
+    some = [line(n) for n in (20, 21, 35, 51, 53, 60, 120)]
+
+    def wrapped(text, n):
+        w = text.split()
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    rows = [(i, wrapped(f"{line(r.randrange(25, 60))} {some[i % 7]} {line(r.randrange(25, 60))}", r.choice([7, 12, 18, 25])), "x", 1) for i in range(42)]
+    rows += [(50, f"{line(10)}\n{' '.join(some[4].split()[:35])}\n{' '.join(some[4].split()[35:])}\n{line(12)}", "x", 1), (None, wrapped(some[5], 9), "x", 1)]
+    got = sd.repeated(spark.createDataFrame(rows, DOCS).repartition(3)).where("not whole").toPandas()
+    seen, want = set(), {}
+    for d, text, *_ in rows:
+        for k, w in enumerate(windows(text)):
+            if w in seen:
+                want.setdefault(d, set()).update(range(k, k + sd.MIN_RUN))
+            seen.add(w)
+    texts, cut = {d: t for d, t, *_ in rows}, {}
+    for x in got[~got.keep].itertuples():
+        d = None if x.doc_id != x.doc_id else int(x.doc_id)
+        before, inside = texts[d][: x.start].split(), texts[d][x.start : x.start + x.length].split()
+        assert len(inside) == x.n_words
+        cut.setdefault(d, set()).update(range(len(before), len(before) + len(inside)))
+    assert cut == want and len(want) == 37 and None in want
+    left = {x.doc_id: x.text for x in sd.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    every = [w for t in left.values() for w in windows(t)]
+    assert len(every) == len(set(every)) and None not in left
+    for d, text, *_ in rows:
+        if d is not None:
+            assert left[d].split() == [w for k, w in enumerate(text.split()) if k not in want.get(d, ())]
+
+
 def test_bands_reach_the_recall():
     b, r = sd.tune_bands(0.7, 0.97)
     assert 1 - (1 - 0.7**r) ** b >= 0.97 > 1 - (1 - 0.7**r) ** (b - 1)
