@@ -363,9 +363,14 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents without their repeated passages; one left blank by that is dropped."""
     columns = docs.columns
-    gone = repeated(docs, **how).where("not keep").select("doc_id", "thash", "start", "length", "whole").distinct()
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "length", "whole")).alias("_gone"))
+    gone = _lost(repeated(docs, **how), "start", "length", "whole")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "length", "whole", "first")).alias("_gone"))
     rows = docs.withColumn("_h", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (rows["_h"] == gone["_hash"]), "left")
+    # the first of equal rows keeps what only its copies lose
+    one = Window.partitionBy("_id", "_hash").orderBy("_h")
+    copies = rows.where("_gone is not null and exists(_gone, c -> not c.first)").withColumn("_n", F.row_number().over(one))
+    copies = copies.withColumn("_gone", F.expr("if(_n = 1, filter(_gone, c -> c.first), _gone)")).drop("_n")
+    rows = rows.where("_gone is null or not exists(_gone, c -> not c.first)").unionByName(copies)
     rows = rows.withColumn("text", _without("text", "_gone"))
     return rows.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*columns)

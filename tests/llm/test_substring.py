@@ -130,6 +130,13 @@ def test_runs_over_lines_against_brute_force(spark):
             assert left[d].split() == [w for k, w in enumerate(text.split()) if k not in want.get(d, ())]
 
 
+def test_one_of_equal_rows_keeps_its_text(spark):
+    long, short = line(60), "\n".join(line(9) for _ in range(5))
+    rows = [(1, long, "x", 1)] * 3 + [(2, short, "x", 1)] * 3 + [(None, line(70) + "\n" + long, "x", 1)] * 2 + [(4, "few words", "x", 1)] * 2
+    got = [r.text for r in sd.deduplicated(spark.createDataFrame(rows, DOCS).repartition(3)).collect()]
+    assert sorted(t.rstrip("\n") for t in got) == sorted([long, short, rows[6][1].split("\n")[0], "few words", "few words"])
+
+
 def test_bands_reach_the_recall():
     b, r = sd.tune_bands(0.7, 0.97)
     assert 1 - (1 - 0.7**r) ** b >= 0.97 > 1 - (1 - 0.7**r) ** (b - 1)
