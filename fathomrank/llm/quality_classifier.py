@@ -29,8 +29,10 @@ SAMPLE_A_CLASS = 1500
 #: Buckets of byte trigrams and of word shapes; a text counts as so many bytes and words more of neither.
 TRIGRAMS, SHAPES = 1 << 11, 1 << 10
 DIMENSIONS = TRIGRAMS + SHAPES
-#: Prior of the labellers: how seldom a junk vote is wrong on a good document, in units of the corpus.
-PRECISION, PRECISION_WEIGHT = 0.999, 10.0
+#: Prior of the labellers: how seldom a junk vote is wrong on a good document, and for how many documents that counts.
+PRECISION, PRECISION_DOCUMENTS = 0.999, 1000.0
+#: With a smaller share of function words a text counts as in none of their four languages, and their labeller is silent.
+KNOWN_LANGUAGE = 0.02
 SHRINK_BYTES, SHRINK_WORDS = 200.0, 20.0
 FUNCTION_WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all le la les de des du et en un une que qui dans est pour pas sur au par plus ne se ce il der die das und zu den von mit ist des dem nicht ein eine auf es im sich auch als an el los las del y que en por con para una su al lo como más".split()
 LABELLERS = ("symbols", "capitals", "exclamations", "bars", "function words", "variety", "word length", "sentences", "runs")
@@ -61,7 +63,8 @@ def votes(buf: np.ndarray, offs: np.ndarray, known: np.ndarray) -> np.ndarray:
     variety = np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=n) / words
     again = np.append(False, (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1]))[: len(h)]
     runs = np.bincount(w.doc, weights=again, minlength=n) / words
-    mean = np.bincount(w.doc, weights=w.end - w.start, minlength=n) / words
+    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    mean = np.bincount(w.doc, weights=chars[w.end] - chars[w.start], minlength=n) / words
     ink = np.maximum(size - c[:, 7], 1)
     letters = np.maximum(c[:, 1] + c[:, 2], 1)
     ends = c[:, 6] + c[:, 4]
@@ -75,7 +78,7 @@ def votes(buf: np.ndarray, offs: np.ndarray, known: np.ndarray) -> np.ndarray:
         vote(c[:, 2] / letters > 0.4, c[:, 2] / letters < 0.15),
         vote(c[:, 4] / words > 0.25, c[:, 4] / words < 0.05),
         vote(c[:, 5] / words > 0.2, c[:, 5] / words < 0.02),
-        vote(long & (function < 0.08), function > 0.15),
+        vote(long & (function < 0.08) & (function >= KNOWN_LANGUAGE), function > 0.15),
         vote(long & (variety < 0.1), variety > 0.25),
         vote((mean > 9) | (mean < 2), (mean > 2.5) & (mean < 6.5)),
         vote(long & (words / np.maximum(ends, 0.5) > 80), words / np.maximum(ends, 0.5) < 40),
@@ -101,8 +104,10 @@ def fit_labels(counts: dict[int, int], rounds: int = 200, smooth: float = 1.0) -
     The hidden class is good or one of as many kinds of junk as there are labellers: two signs of
     junk seldom come together, so one junk class in which votes are independent would explain
     the commoner kinds and give the others up. Silence says nothing about the class. Kinds begin
-    where their labeller votes junk, good where none does. A beta prior says that junk votes are
-    precise by design; votes that contradict it often enough still overrule it.
+    where their labeller votes junk, good where none does. A beta prior of constant weight says that
+    junk votes are precise by design, so on many documents their votes decide. Documents whose only
+    oddity is one labeller's junk vote still fit that labeller's kind of junk, so labellers must
+    be silent where they can't tell.
     """
     m = len(LABELLERS)
     every = np.array(sorted(counts), dtype=np.int64)
@@ -114,8 +119,8 @@ def fit_labels(counts: dict[int, int], rounds: int = 200, smooth: float = 1.0) -
         post /= post.sum(1, keepdims=True)
         weight = post * n[:, None]
         right, wrong = weight.T @ good, weight.T @ junk  # [class, labeller]
-        right[0] += PRECISION_WEIGHT * n.sum() * PRECISION
-        wrong[0] += PRECISION_WEIGHT * n.sum() * (1 - PRECISION)
+        right[0] += PRECISION_DOCUMENTS * PRECISION
+        wrong[0] += PRECISION_DOCUMENTS * (1 - PRECISION)
         wrong[1:][np.diag_indices(m)] += 10 * smooth
         p = (right + smooth) / (right + wrong + 2 * smooth)
         share = (weight.sum(0) + smooth) / (n.sum() + (m + 1) * smooth)

@@ -56,6 +56,15 @@ def test_odd_rows(odd):
     assert got[got.doc_id == 0].score.nunique() == 1
 
 
+def test_clean_text_in_a_fifth_language_is_kept(spark, odd):
+    r = random.Random(1)
+    cyrillic, polish = ("предложение государственный исследование вода которого человечество было что не на развитие".split(), "wszystkie książki które czytałem były dobre ponieważ mają ciekawe treści oraz piękny język nie się jest".split())
+    other = [" ".join(r.choice(w) + "ayouei"[r.randrange(6)] * (r.random() < 0.3) for _ in range(60)).capitalize() + "." for w in (cyrillic, polish) for _ in range(12)]
+    docs = odd.unionByName(spark.createDataFrame([(1000 + i, t, 0.5, 7) for i, t in enumerate(other)], DOCS))
+    at = qc.judge(docs).toPandas().drop_duplicates("doc_id").set_index("doc_id")
+    assert at.keep[range(1000, 1024)].all() and at.keep[range(60)].all() and not at.keep[range(60, 90)].any()
+
+
 def test_kept_documents_have_their_columns(odd):
     got = qc.kept_documents(odd)
     assert got.columns == odd.columns
