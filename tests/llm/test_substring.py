@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from fathomrank.llm import substring_dedup as sd
+from fathomrank.llm.kernels import chunks
 
 DOCS = "doc_id long, text string, thash string, cid int"
 R = random.Random(4)
@@ -130,6 +132,20 @@ def test_runs_over_lines_against_brute_force(spark):
             assert left[d].split() == [w for k, w in enumerate(text.split()) if k not in want.get(d, ())]
 
 
+def test_equal_windows_have_equal_seeds_wherever_they_stand():
+    passage = line(51)
+    texts = [line(7), *[f"{line(40)} {passage} {line(40)}" for _ in range(40)], passage, line(19), ""]
+    p = next((sd.places(buf, offs) for _, _, buf, offs in chunks(pa.array(texts))))
+    at, seed, g = sd.windows_of(p)
+    assert len(at) == sum(len(windows(t)) for t in texts)
+    seeds = {}
+    for a, k in zip(at, seed):
+        assert a <= k <= a + sd.MIN_RUN - sd.SEED and p["doc"][k + sd.SEED - 1] == p["doc"][a]
+        seeds.setdefault(tuple(p["h"][a : a + sd.MIN_RUN]), []).append((g[k], k - a))
+    assert all(len(set(x)) == 1 for x in seeds.values())
+    assert sum(len(x) == 41 for x in seeds.values()) == 51 - sd.MIN_RUN + 1
+
+
 def test_one_of_equal_rows_keeps_its_text(spark):
     long, short = line(60), "\n".join(line(9) for _ in range(5))
     rows = [(1, long, "x", 1)] * 3 + [(2, short, "x", 1)] * 3 + [(None, line(70) + "\n" + long, "x", 1)] * 2 + [(4, "few words", "x", 1)] * 2
