@@ -10,11 +10,18 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 _own: dict[str, str] = {}
+#: Bits of the largest filter of ``sieve`` (16 MB); one of Spark's bitmap groups has 32,768.
+MOST_BITS, GROUP_BITS = 1 << 27, 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +58,21 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more, and the shuffle files of finished jobs.
+
+    Spark removes the latter only once the driver has collected its garbage, which it may not do for long.
+    """
+    jvm, conf = tables[0].sparkSession.sparkContext._jvm, tables[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -97,6 +118,47 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size: str, tota
     return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = (h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h >> np.uint64(64 - bits), (h << np.uint64(31)) >> np.uint64(64 - bits)
+
+
+def sieve(keys: DataFrame, column: str):
+    """A test ``f(Column) -> Column`` of longs that is true for every key and for few others.
+
+    A Bloom filter with two probes and 16 bits a key, at most ``MOST_BITS``: what is gathered and sent is
+    bounded by that. It only thins what an exact join then gets: beyond the bound it lets more through, and
+    the result stays the same.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS.bit_length() - 1, max(GROUP_BITS.bit_length() - 1, (16 * n).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(_probes(b.column(0).to_numpy(zero_copy_only=False), bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at + 1)], names=["at"])  # Spark's groups begin at 1
+
+    at = keys.select(column).mapInArrow(places, "at long")
+    groups = at.groupBy(F.bitmap_bucket_number("at").alias("g")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("b")).collect()  # at most MOST_BITS in all
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    for g, b in groups:
+        packed[(g - 1) * GROUP_BITS // 8 :][: len(b)] = np.frombuffer(b, np.uint8)
+    mask = keys.sparkSession.sparkContext.broadcast(packed)
+
+    def passes(h: np.ndarray) -> np.ndarray:
+        table, out = mask.value, np.ones(len(h), bool)
+        for at in _probes(h, bits):
+            out &= (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    @F.pandas_udf(BooleanType())
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(h.to_numpy(np.int64)))
+
+    maybe.passes = passes
+    return maybe
+
+
 def connected_components(edges: DataFrame, label: str) -> DataFrame:
     """Components of an undirected graph as (node, root); root is the smallest node.
 
@@ -113,7 +175,8 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = write_table(small.where("u <> v").distinct(), label)
+        before, now = now, write_table(small.where("u <> v").distinct(), label)
+        release(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
