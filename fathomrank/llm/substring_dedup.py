@@ -2,20 +2,25 @@
 
 A paragraph is a line with at least ``min_words`` words (runs of letters, A-Z lower-cased, so that
 dates and punctuation don't make a new text). Equal word sequences are one class by their 64-bit
-hash. Classes that collide in a band of their MinHash signature over 3-word shingles are joined
-as pairs, verified by the exact Jaccard index of their shingle sets, and clustered by connected
-components; in each cluster the first paragraph by (doc_id, place) stays and the others go.
+hash. In each band of their MinHash signature over 3-word shingles, colliding classes are joined to the
+band's least class and verified by the exact Jaccard index of their shingle sets; classes of one band that this
+left in different components are then paired with each other, so the components are those of all pairs, which
+aren't listed. In each cluster the first paragraph by (doc_id, place) stays and the others go.
 ``tune_bands`` picks the fewest bands that find a pair at the threshold with the wanted recall.
 
 A passage may also stand inside lines that differ otherwise, or run over line breaks. So every window of
 ``MIN_RUN`` words of a document, where a line break is white space like any other, goes if the same
 words stand at an earlier place outside the lines that went. Each window names a seed in it (its run of
-``SEED`` words with the least hash); only windows whose seed occurs again are compared, and equal
+``SEED`` words with the least hash); only windows whose seed occurs in another text are compared, and equal
 windows have equal seeds, so none is missed. A window that only arises where a passage was cut out isn't looked for.
 
-Defined results: null, empty and short texts have no paragraph to remove; repeated rows are copies
-of each other, so only one keeps its paragraphs; a null doc_id sorts last; an empty table gives no
-rows; other columns are ignored (``deduplicated`` keeps them and drops documents left without text).
+What one document repeats within itself only is no passage shared by documents and is left alone.
+
+Equal texts are looked at once, by their hash; their rows meet the result at the end.
+
+Defined results: null, empty and short texts have no paragraph to remove; a text of ``MIN_RUN`` words that has
+copies goes whole from all rows but the first, and of equal rows only one keeps it; a null doc_id sorts last; an
+empty table gives no rows; other columns are ignored (``deduplicated`` keeps them and drops documents left without text).
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fathomrank.llm.kernels import LETTER, LOWER, Prefix, Words, chunks, grams, mix, powers
-from fathomrank.shared import connected_components, join_by_class, write_table
+from fathomrank.shared import connected_components, join_by_class, release, sieve, write_table
 
 MIN_WORDS, THRESHOLD, RECALL, SHINGLE = 30, 0.7, 0.97, 3
 #: The fewest words of a run that counts; words of a seed.
@@ -125,53 +130,80 @@ def scan(buf: np.ndarray, offs: np.ndarray, min_words: int, bands: int, rows: in
     return {"doc": doc, "paragraph": number, "start": chars[begin] - base, "length": chars[end] - chars[begin], "n_words": w1 - w0, "cid": cid.view(np.int64), "bands": sig.view(np.int64), "from": begin, "to": end}
 
 
-PARAGRAPH = "doc_id long, thash long, paragraph int, start long, length long, n_words int, cid long"
-
-
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("thash"), "text")
 
 
+def _once(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The distinct texts of a batch (doc_id, thash, ...), each under its least doc_id, and the number of rows of each."""
+    t, null = b.column(1).to_numpy(zero_copy_only=False), b.column(0).is_null().to_numpy(zero_copy_only=False)
+    order = np.lexsort((b.column(0).fill_null(0).to_numpy(zero_copy_only=False), null, t))
+    first = np.flatnonzero(np.append(True, t[order][1:] != t[order][:-1])) if len(t) else np.zeros(0, np.int64)
+    at, n = order[first], np.diff(np.append(first, len(t)))
+    rows = np.argsort(at)
+    return (b if len(at) == len(t) else b.take(pa.array(at[rows]))), n[rows]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
+
+
+PARAGRAPH = "doc_id long, thash long, rows int, again boolean, paragraph int, start int, length int, n_words int, cid long"
+
+
 def paragraphs(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
+    """The long lines of the distinct texts, again where the text has had that class already; paragraph -1 is a whole text of MIN_RUN words."""
+    names = [x.split()[0] for x in PARAGRAPH.split(", ")] + ["bands"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, n in map(_once, batches):
             for i, j, buf, offs in chunks(b.column(2)):
-                p = scan(buf, offs, min_words, bands, rows)
-                at = pa.array(p["doc"])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p["doc"]) + 1, dtype=np.int32) * bands), pa.array(p["bands"].ravel()))
+                p, t = scan(buf, offs, min_words, bands, rows), whole_texts(buf, offs)
+                at = np.append(p["doc"], t["doc"])
+                order = np.lexsort((p["paragraph"], p["cid"], p["doc"]))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (p["doc"][order][1:] == p["doc"][order][:-1]) & (p["cid"][order][1:] == p["cid"][order][:-1])
+                both = [pa.array(np.append(p[c], t[c]).astype(np.int32)) for c in ("paragraph", "start", "length", "n_words")]
+                place = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i).take(at), b.column(1).slice(i, j - i).take(at), pa.array(p["paragraph"], pa.int32()), pa.array(p["start"]), pa.array(p["length"]), pa.array(p["n_words"], pa.int32()), pa.array(p["cid"]), lists],
-                    names=["doc_id", "thash", "paragraph", "start", "length", "n_words", "cid", "bands"],
+                    [b.column(0).slice(i, j - i).take(place), b.column(1).slice(i, j - i).take(place), pa.array(n[i:j][at].astype(np.int32)), pa.array(again), *both, pa.array(np.append(p["cid"], t["cid"])), _lists(p["bands"].ravel(), np.append(np.full(len(p["doc"]), bands), np.zeros(len(t["doc"]), int)))],
+                    names=names,
                 )
 
     return _source(docs).mapInArrow(run, PARAGRAPH + ", bands array<long>")
 
 
+def whole_texts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
+    """The texts of MIN_RUN words of a chunk as one paragraph each, number -1."""
+    p = places(buf, offs)
+    first = np.searchsorted(p["doc"], np.arange(len(offs)))
+    doc = np.flatnonzero(np.diff(first) >= MIN_RUN)
+    a, z = first[doc], first[doc + 1] - 1
+    along, inv = _along(p["h"])
+    cid = mix((along[z + 1] - along[a]) * inv[a]).view(np.int64)
+    return {"doc": doc, "paragraph": np.full(len(doc), -1), "start": p["start"][a], "length": p["end"][z] - p["start"][a], "n_words": z - a + 1, "cid": cid}
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """The seeds of all windows; paragraph is null where one runs over a line break."""
+    """The seeds of all windows of the distinct texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, _ in map(_once, batches):
             for i, j, buf, offs in chunks(b.column(2)):
                 p = places(buf, offs)
                 _, seed, g = windows_of(p)
                 seed = np.unique(seed)
-                at, line = pa.array(p["doc"][seed]), p["paragraph"][seed]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i).take(at), b.column(1).slice(i, j - i).take(at), pa.array(p["word"][seed].astype(np.int32)), pa.array(line.astype(np.int32), mask=line != p["paragraph"][seed + SEED - 1]), pa.array(g[seed].view(np.int64))],
-                    names=["doc_id", "thash", "word", "paragraph", "seed"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).take(pa.array(p["doc"][seed])), pa.array(p["word"][seed].astype(np.int32)), pa.array(g[seed].view(np.int64))], names=["thash", "word", "seed"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, thash long, word int, paragraph int, seed long")
+    return _source(docs).mapInArrow(run, "thash long, word int, seed long")
 
 
-def windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The windows whose seed is in ``marks`` (doc_id, thash, seeds, gone, copies) and that have a word outside the lines in gone.
+def windows(texts: DataFrame) -> DataFrame:
+    """The windows at the marked seeds of texts (doc_id, thash, text, seeds, gone) that have a word outside the lines in gone.
 
-    Columns: doc_id, thash, word, paragraph, start, length, n_words, hash, whole (no word lies in those lines). A text
-    of MIN_RUN words that has copies gives a row for itself too, at word -1.
+    Columns: doc_id, thash, word, paragraph, start, length, hash, whole (no word lies in those lines).
     """
-    names = ["doc_id", "thash", "word", "paragraph", "start", "length", "n_words", "hash", "whole"]
+    names = ["doc_id", "thash", "word", "paragraph", "start", "length", "hash", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,91 +212,80 @@ def windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
                 at, seed, _ = windows_of(p)
                 first = np.searchsorted(p["doc"], np.arange(j - i + 1))
                 hit, out = np.zeros(len(p["h"]), bool), np.zeros(len(p["h"]), bool)
-                texts = []
                 for d in range(j - i):
-                    wanted, gone, copies = (b.column(c)[i + d].as_py() for c in (3, 4, 5))
-                    hit[first[d] + np.array(wanted or [], np.int64)] = True
-                    if gone:
-                        out[first[d] : first[d + 1]] = np.isin(p["paragraph"][first[d] : first[d + 1]], gone)
-                    if copies and first[d + 1] - first[d] >= MIN_RUN:
-                        texts.append(d)
+                    wanted, gone = b.column(3)[i + d].values, b.column(4)[i + d].values
+                    hit[first[d] + wanted.to_numpy()] = True
+                    if gone is not None and len(gone):
+                        out[first[d] : first[d + 1]] = np.isin(p["paragraph"][first[d] : first[d + 1]], gone.to_numpy())
                 lost = np.concatenate([[0], np.cumsum(out)])
-                take = hit[seed] & (lost[at + MIN_RUN] - lost[at] < MIN_RUN)
-                at = at[take]
+                at = at[hit[seed] & (lost[at + MIN_RUN] - lost[at] < MIN_RUN)]
                 along, inv = _along(p["h"])
-                last = at + MIN_RUN - 1
-                t = np.array(texts, np.int64)
-                a, z = first[t], first[t + 1] - 1
-                rows = {
-                    "word": np.append(p["word"][at], np.full(len(t), -1)), "paragraph": np.append(p["paragraph"][at], p["paragraph"][a]), "start": np.append(p["start"][at], p["start"][a]),
-                    "length": np.append(p["end"][last] - p["start"][at], p["end"][z] - p["start"][a]), "n_words": np.append(np.full(len(at), MIN_RUN), z - a + 1),
-                }
-                h = np.append(mix((along[at + MIN_RUN] - along[at]) * inv[at]), mix((along[z + 1] - along[a]) * inv[a])).view(np.int64)
-                doc = pa.array(np.append(p["doc"][at], t))
-                whole = np.append(lost[at + MIN_RUN] == lost[at], np.ones(len(t), bool))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(doc), b.column(1).slice(i, j - i).take(doc), *[pa.array(x.astype(np.int32)) for x in rows.values()], pa.array(h), pa.array(whole)], names=names)
-
-    source, keys = _source(docs), marks.select(F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), "seeds", "gone", "copies")
-    rows = source.join(keys, source["doc_id"].eqNullSafe(keys["_d"]) & (source["thash"] == keys["_t"])).select("doc_id", "thash", "text", "seeds", "gone", "copies")
-    return rows.mapInArrow(run, "doc_id long, thash long, word int, paragraph int, start int, length int, n_words int, hash long, whole boolean")
+                h = mix((along[at + MIN_RUN] - along[at]) * inv[at]).view(np.int64)
+                doc = pa.array(p["doc"][at])
+                ints = [pa.array(x.astype(np.int32)) for x in (p["word"][at], p["paragraph"][at], p["start"][at], p["end"][at + MIN_RUN - 1] - p["start"][at])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(doc), b.column(1).slice(i, j - i).take(doc), *ints, pa.array(h), pa.array(lost[at + MIN_RUN] == lost[at])], names=names)
+
+    return texts.select("doc_id", "thash", "text", "seeds", "gone").mapInArrow(run, "doc_id long, thash long, word int, paragraph int, start int, length int, hash long, whole boolean")
+
+
+SPAN = ("thash", "paragraph", "start", "length", "n_words", "cluster_id", "stays", "keeper_doc_id", "whole")
+
+
+def _place(*more: str) -> Column:
+    """The order of places: null ids sort last; no field is null, so places compare as a whole."""
+    return F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("d"), "thash", *more)
+
+
+def _id(place: str) -> Column:
+    return F.expr(f"if({place}.x, null, {place}.d)")
 
 
 def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Runs of at least MIN_RUN words that occur before, in the columns of ``repeated``.
+    """Runs of at least MIN_RUN words that another text has, in the columns ``SPAN``.
 
-    A window stays where it stands first outside the lines in ``gone`` (doc_id, thash, paragraph) and goes at every
+    A window stays where it stands first outside the lines in ``gone`` (thash, paragraph) and goes at every
     later place. So what a removed word repeats stands earlier, and the first such place is never removed.
     """
     every = write_table(seeds(docs), "substring-seeds")
-    counts = write_table(every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "substring-seed-counts")
-    twice = join_by_class(every, counts, "seed", "n", every.count()).drop("n")
-    out = gone.select(F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), F.col("paragraph").alias("_p"))
-    lost = twice["doc_id"].eqNullSafe(out["_d"]) & (twice["thash"] == out["_t"]) & (twice["paragraph"] == out["_p"])
-    left = write_table(twice.join(out, lost, "left_anti").distinct(), "substring-left")
-    again = write_table(left.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "substring-again")
-    hits = join_by_class(left, again, "seed", "n", left.count()).select("doc_id", "thash", "word", F.lit(None).cast("int").alias("line"), F.lit(0).alias("row"))
-    # a text's lines that are gone matter only where it has seeds
-    lines = gone.select("doc_id", "thash", F.lit(None).cast("int").alias("word"), F.col("paragraph").alias("line"), F.lit(0).alias("row"))
-    copied = _source(docs).select("doc_id", "thash", F.lit(None).cast("int").alias("word"), F.lit(None).cast("int").alias("line"), F.lit(1).alias("row"))
-    marks = hits.unionByName(lines).unionByName(copied).groupBy("doc_id", "thash").agg(F.collect_list("word").alias("seeds"), F.collect_list("line").alias("gone"), (F.sum("row") > 1).alias("copies"))
-    marks = write_table(marks.where((F.size("seeds") > 0) | F.col("copies")), "substring-marks")
-    found = write_table(windows(docs, marks), "substring-windows")
-    # null ids sort last; no field is null, so places compare as a whole
-    place = F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("d"), "thash", "word")
-    run = found.where("word >= 0").withColumn("place", place)
-    ends = run.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.when(F.col("whole"), F.col("place"))).alias("first"), F.max("place").alias("last"))
-    ends = write_table(ends.where("first < last"), "substring-ends")
-    rows = join_by_class(run, ends, "hash", "n", run.count()).where("place >= first")
-    rows = rows.withColumn("keep", F.expr("place = first")).withColumn("keeper", F.expr("if(first.x, null, first.d)"))
-    order = Window.partitionBy("doc_id", "thash", "keep").orderBy("word")
+    shared = every.groupBy("seed").agg(F.count("*").alias("n"), F.min("thash").alias("lo"), F.max("thash").alias("hi")).where("lo < hi")
+    shared = write_table(shared.select("seed", "n"), "substring-shared-seeds")
+    hits = join_by_class(every.where(sieve(shared, "seed")(F.col("seed"))), shared, "seed", "n", every.count())
+    hits = write_table(hits.groupBy("thash").agg(F.collect_set("word").alias("seeds")), "substring-hits")  # of one text
+    release(every, shared)
+    marked = gone.groupBy("thash").agg(F.collect_list("paragraph").alias("gone"))
+    texts = _source(docs).where(sieve(hits, "thash")(F.col("thash"))).groupBy("thash").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    found = write_table(windows(texts.join(hits, "thash").join(marked, "thash", "left")), "substring-windows")
+    release(hits)
+    ends = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("thash").alias("lo"), F.max("thash").alias("hi"), F.min(F.when(F.col("whole"), _place("word"))).alias("first"))
+    ends = write_table(ends.where("lo < hi and first is not null").select("hash", "n", "first"), "substring-ends")
+    rows = join_by_class(found.where(sieve(ends, "hash")(F.col("hash"))), ends, "hash", "n", found.count()).withColumn("place", _place("word")).where("place >= first")
+    rows = rows.withColumn("stays", F.expr("place = first")).withColumn("keeper", _id("first"))
+    order = Window.partitionBy("thash", "stays").orderBy("word")
     rows = rows.withColumn("_new", F.when(F.col("word") - F.lag("word").over(order) <= 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    rows = rows.groupBy("doc_id", "thash", "keep", "_run").agg(
-        F.min_by("paragraph", "word").alias("paragraph"), F.min("start").cast("long").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("length"),
+    rows = rows.groupBy("thash", "stays", "_run").agg(
+        F.min_by("paragraph", "word").alias("paragraph"), F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"),
         (F.max("word") - F.min("word") + MIN_RUN).cast("int").alias("n_words"), F.min_by("hash", "word").alias("cluster_id"), F.min_by("keeper", "word").alias("keeper_doc_id"),
     )
-    one = Window.partitionBy("doc_id", "thash").orderBy("hash")
-    copies = found.where("word < 0").withColumn("keep", F.row_number().over(one) == 1)
-    names = ("doc_id", "thash", "paragraph", "start", "length", "n_words", "cluster_id", "keep", "keeper_doc_id")
-    copies = copies.select("doc_id", "thash", "paragraph", F.col("start").cast("long"), F.col("length").cast("long"), "n_words", F.col("hash").alias("cluster_id"), "keep", F.col("doc_id").alias("keeper_doc_id"))
-    return rows.select(*names).unionByName(copies)
-
+    runs = write_table(rows.withColumn("whole", F.lit(False)).select(*SPAN), "substring-runs")
+    release(found, ends)
+    return runs
 
-def _lost(found: DataFrame, *what: str) -> DataFrame:
-    """(doc_id, thash and ``what`` of the occurrences that go, first: whether they go from the first of equal rows too)."""
-    return found.groupBy("doc_id", "thash", *what).agg((~F.max("keep")).alias("first"), F.min("keep").alias("_stays")).where("not _stays").drop("_stays")
 
-
-def _texts(docs: DataFrame, min_words: int) -> DataFrame:
-    """cid and text of every paragraph."""
+def _sets(docs: DataFrame, min_words: int, wanted) -> DataFrame:
+    """cid and shingle hashes, each once, of the paragraphs whose class ``wanted`` lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, buf, offs in chunks(b.column(0)):
-                p = scan(buf, offs, min_words, 0, 1)
-                raw = buf.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(p["cid"]), pa.array([raw[s:e] for s, e in zip(p["from"], p["to"])], pa.binary())], names=["cid", "line"])
+        for b, _ in map(_once, batches):
+            for _, _, buf, offs in chunks(b.column(2)):
+                h, _, _, _, _, _, w0, w1, _ = _lines(buf, offs, min_words)
+                along, inv = _along(h)
+                cid, at = np.unique(mix((along[w1] - along[w0]) * inv[w0] + (w1 - w0).astype(np.uint64)).view(np.int64), return_index=True)
+                take = wanted.passes(cid)
+                g = grams(h, SHINGLE)
+                sets = [np.unique(g[a : z - SHINGLE + 1]) for a, z in zip(w0[at[take]], w1[at[take]])]
+                yield pa.RecordBatch.from_arrays([pa.array(cid[take]), _lists(np.concatenate(sets or [g[:0]]).view(np.int64), np.array([len(x) for x in sets], int))], names=["cid", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "cid long, line binary")
+    return _source(docs).mapInArrow(run, "cid long, shingles array<long>").groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
 
 
 def shingles(line: bytes) -> set[tuple[bytes, ...]]:
@@ -272,67 +293,141 @@ def shingles(line: bytes) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
 
 
+def overlaps(x: pa.ListArray, y: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(size of the intersection, size of the union) of the sets in each row; pairs are sorted together."""
+    sizes = [np.diff(c.offsets.to_numpy()) for c in (x, y)]
+    pair = np.concatenate([np.repeat(np.arange(len(x)), n) for n in sizes])
+    h = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (x, y)])
+    h = mix(h + mix(pair.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(h)
+    both = np.bincount(pair[order[:-1][h[order][1:] == h[order][:-1]]], minlength=len(x))
+    return both, sizes[0] + sizes[1] - both
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, PAIRS) for whole in batches for i in range(0, whole.num_rows, PAIRS)):
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            sets: dict[int, set] = {}
-            good = []
-            for k in range(len(a)):
-                s = sets.get(a[k]) or sets.setdefault(a[k], shingles(x[k]))
-                t = sets.get(b[k]) or sets.setdefault(b[k], shingles(y[k]))
-                both = len(s & t)
-                if both >= threshold * (len(s) + len(t) - both):
-                    good.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
+        for b in (whole.slice(i, PAIRS) for whole in batches for i in range(0, whole.num_rows, PAIRS)):
+            both, union = overlaps(b.column(2), b.column(3))
+            good = pa.array(np.flatnonzero(both >= threshold * union))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(good), b.column(1).take(good)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int, threshold: float) -> DataFrame:
-    """Verified links a, b between different paragraph classes (cid, bands)."""
-    index = classes.select("cid", F.explode("bands").alias("band"))
-    met = index.withColumnRenamed("cid", "a").join(index.withColumnRenamed("cid", "b"), "band").where("a < b").select("a", "b").distinct()
-    met = write_table(met, "substring-met")
-    wanted = met.select(F.col("a").alias("cid")).unionByName(met.select(F.col("b").alias("cid"))).distinct()
-    lines = _texts(docs, min_words).join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("line").alias("line"))
-    lines = write_table(lines, "substring-lines")
-    pairs = met.join(lines.select(F.col("cid").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("cid").alias("b"), F.col("line").alias("y")), "b")
-    return _verified(pairs.select("a", "b", "x", "y"), threshold)
+def _linked(docs: DataFrame, pairs: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """The links among pairs a, b; b may be the same in many."""
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = write_table(_sets(docs, min_words, sieve(wanted, "cid")), "substring-sets")
+    other = pairs.groupBy("b").agg(F.count("*").alias("n")).join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
+    links = write_table(_verified(join_by_class(left, other, "b", "n", pairs.count()).select("a", "b", "x", "y"), threshold), "substring-links")
+    release(sets)
+    return links
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The lines that occur more than once: one row an occurrence.
+def _rest(index: DataFrame, roots: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs of classes that share a band and are in different components, but for those in ``met``.
 
-    Columns: doc_id, thash, paragraph (line number), start and length in code points, n_words,
-    cluster_id, keep (the first of its cluster), keeper_doc_id.
+    A band's commonest component meets only the band's other classes, so a large group isn't paired with itself.
     """
+    rooted = index.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rooted = write_table(rooted.join(split, "band"), "substring-split")
+    main = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", "n").alias("main"))
+    rooted = rooted.join(main, "band")
+    stray = rooted.where("root <> main").select("band", F.col("cid").alias("x"), F.col("root").alias("xr"))
+    pairs = stray.join(rooted.select("band", F.col("cid").alias("y"), F.col("root").alias("yr"), "main"), "band").where("xr <> yr and (yr = main or x < y)")
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return write_table(pairs.join(met, ["a", "b"], "left_anti"), "substring-rest")
+
+
+def similar_classes(docs: DataFrame, every: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """(node, root) of the linked paragraph classes of ``every`` (cid, bands)."""
+    index = every.select("cid", F.explode("bands").alias("band"))
+    least = write_table(index.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("b"), F.max("cid").alias("hi")).where("b < hi").select("band", "b", "n"), "substring-bands")
+    index = write_table(join_by_class(index.where(sieve(least, "band")(F.col("band"))), least, "band", "n", every.count()).select("band", "cid", "b").distinct(), "substring-index")
+    met = write_table(index.where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "substring-met")
+    links = _linked(docs, met, min_words, threshold)
+    roots = write_table(connected_components(links, "substring-components"), "substring-roots")
+    rest = _rest(index.select("band", "cid"), roots, met)
+    if not rest.isEmpty():
+        roots = write_table(connected_components(links.unionByName(_linked(docs, rest, min_words, threshold)), "substring-components"), "substring-roots")
+    release(least, index, met, links, rest)
+    return roots
+
+
+def _line_spans(docs: DataFrame, every: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """The lines that occur in more than one document, in the columns ``SPAN``; ``every`` has the paragraphs."""
+    lines = every.where("paragraph >= 0")
+    roots = similar_classes(docs, lines, min_words, threshold)
+    # documents: rows, where a text's later lines of the class don't count
+    classes = lines.groupBy("cid").agg(F.sum("rows").alias("n"), F.sum(F.when(~F.col("again"), F.col("rows"))).alias("documents"), F.min("thash").alias("lo"), F.max("thash").alias("hi"), F.min(_place("paragraph")).alias("first"))
+    rooted = write_table(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "substring-classes")
+    clusters = rooted.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("documents").alias("documents"), F.min("first").alias("keeper")).where("lo < hi or documents > 1")
+    marked = write_table(rooted.select("cid", "n", "root").join(clusters.select("root", "keeper"), "root"), "substring-marked")
+    spans = join_by_class(lines.where(sieve(marked, "cid")(F.col("cid"))), marked, "cid", "n", lines.count())
+    stays = (F.col("keeper.thash") == F.col("thash")) & (F.col("keeper.paragraph") == F.col("paragraph"))
+    spans = spans.select("thash", "paragraph", "start", "length", "n_words", F.col("root").alias("cluster_id"), stays.alias("stays"), _id("keeper").alias("keeper_doc_id"), F.lit(True).alias("whole"))
+    spans = write_table(spans.dropDuplicates(["thash", "paragraph"]), "substring-lines")
+    release(rooted, marked, roots)
+    return spans
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row for equal rows of a task: doc_id, thash, part, rows; one for each text: thash, n, first)."""
+    rows = _source(docs).groupBy("doc_id", "thash", F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"))
+    rows = write_table(rows, "substring-rows")
+    return rows, rows.groupBy("thash").agg(F.sum("rows").alias("n"), F.min(_place("part")).alias("first"))
+
+
+def _occurrences(rows: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans of texts at every row that has the text; one that stays does so at the text's first row."""
+    of = spans.groupBy("thash").agg(F.collect_list(F.struct(*SPAN[1:])).alias("spans"))  # of one text
+    of = write_table(of.join(texts, "thash"), "substring-spans")
+    at = join_by_class(rows.where(sieve(of, "thash")(F.col("thash"))), of, "thash", "n", rows.count())
+    at = at.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("i"), F.expr("first.x = (doc_id is null) and first.d = coalesce(doc_id, 0) and first.part = part").alias("one"))
+    return at.select("doc_id", "thash", (F.col("one") & (F.col("i") == 1)).alias("one"), F.explode("spans").alias("s")).select(
+        "doc_id", "thash", "s.paragraph", F.col("s.start").cast("long").alias("start"), F.col("s.length").cast("long").alias("length"), "s.n_words", "s.cluster_id", (F.col("one") & F.col("s.stays")).alias("keep"), "s.keeper_doc_id", "s.whole"
+    )
+
+
+def _found(docs: DataFrame, min_words: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     bands, rows = tune_bands(threshold, recall)
     every = write_table(paragraphs(docs, min_words, bands, rows), "substring-paragraphs")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "thash", "paragraph")).alias("first")
-    classes = write_table(every.groupBy("cid").agg(F.count("*").alias("n"), first, F.any_value("bands").alias("bands")), "substring-classes")
-    links = write_table(similar_classes(docs, classes, min_words, threshold), "substring-links")
-    roots = connected_components(links, "substring-components").withColumnRenamed("node", "cid")
-    rooted = classes.drop("bands").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    clusters = rooted.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("keeper")).where("total > 1")
-    marked = write_table(rooted.join(clusters, "root").select("cid", "n", F.col("root").alias("cluster_id"), "keeper"), "substring-marked")
-    rows_ = join_by_class(every.drop("bands"), marked, "cid", "n", every.count())
-    same = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.thash") == F.col("thash")) & (F.col("keeper.paragraph") == F.col("paragraph"))
-    # equal rows are equal in all these columns: one of them keeps the paragraph
-    one = Window.partitionBy("doc_id", "thash", "paragraph").orderBy("cid")
-    return rows_.withColumn("_n", F.row_number().over(one)).select("doc_id", "thash", "paragraph", "start", "length", "n_words", "cluster_id", (same & (F.col("_n") == 1)).alias("keep"), F.col("keeper.doc_id").alias("keeper_doc_id"))
+    return every, _line_spans(docs, every, min_words, threshold)
+
+
+def _copies(every: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts of MIN_RUN words that stand in several rows, as spans: the whole text stays at its first row."""
+    many = texts.where("n > 1")
+    whole = every.where("paragraph < 0").dropDuplicates(["thash"]).join(many, "thash")
+    return whole.select("thash", F.lit(0).alias("paragraph"), "start", "length", "n_words", F.col("cid").alias("cluster_id"), F.lit(True).alias("stays"), _id("first").alias("keeper_doc_id"), F.lit(False).alias("whole"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The lines that occur in more than one document: one row an occurrence.
+
+    Columns: doc_id, thash, paragraph (line number), start and length in code points, n_words,
+    cluster_id, keep (the first of its cluster), keeper_doc_id, whole (here always).
+    """
+    _, lines = _found(docs, min_words, threshold, recall)
+    return _occurrences(*_texts(docs), lines)
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The passages that occur more than once, whole lines and runs of words: one row an occurrence.
+    """The passages that occur in more than one document, whole lines, runs of words and whole texts: one row an occurrence.
 
-    The columns are those of ``repeated_lines`` and whole, whether the passage is a whole line. A run has the number of
-    the line where it begins and may reach over later lines, also over such as go as whole lines. Rows equal in doc_id
-    and text have equal spans; where some say keep and some don't, the first of them keeps it.
+    The columns are those of ``repeated_lines``; whole says whether the passage is a line. A run has the number of
+    the line where it begins and may reach over later lines, also over such as go as whole lines. A text that has copies
+    is a run at line 0 too, from its first word to its last. Rows equal in doc_id and text have equal spans; where some
+    say keep and some don't, the first of them keeps it.
     """
-    lines = write_table(repeated_lines(docs, min_words, threshold, recall), "substring-found")
-    inside = passages(docs, _lost(lines, "paragraph").where("first"))
-    return lines.withColumn("whole", F.lit(True)).unionByName(inside.withColumn("whole", F.lit(False)))
+    every, lines = _found(docs, min_words, threshold, recall)
+    rows, texts = _texts(docs)
+    copies = write_table(_copies(every, texts), "substring-copies")
+    release(every)
+    runs = passages(docs, lines.where("not stays"))
+    return _occurrences(rows, texts, lines.unionByName(runs).unionByName(copies))
 
 
 @F.pandas_udf(StringType())
@@ -360,17 +455,24 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([one(t, c) for t, c in zip(text, spans)], dtype=object)
 
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The documents without their repeated passages; one left blank by that is dropped."""
-    columns = docs.columns
-    gone = _lost(repeated(docs, **how), "start", "length", "whole")
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "length", "whole", "first")).alias("_gone"))
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (rows["_h"] == gone["_hash"]), "left")
-    # the first of equal rows keeps what only its copies lose
-    one = Window.partitionBy("_id", "_hash").orderBy("_h")
-    copies = rows.where("_gone is not null and exists(_gone, c -> not c.first)").withColumn("_n", F.row_number().over(one))
-    copies = copies.withColumn("_gone", F.expr("if(_n = 1, filter(_gone, c -> c.first), _gone)")).drop("_n")
-    rows = rows.where("_gone is null or not exists(_gone, c -> not c.first)").unionByName(copies)
-    rows = rows.withColumn("text", _without("text", "_gone"))
-    return rows.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*columns)
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The documents without their repeated passages; a copy of an earlier text, or one left blank, is dropped."""
+    every, lines = _found(docs, min_words, threshold, recall)
+    _, texts = _texts(docs)
+    copies = write_table(_copies(every, texts).select("thash", "keeper_doc_id"), "substring-copies")
+    release(every)
+    runs = passages(docs, lines.where("not stays"))
+    cuts = lines.unionByName(runs).where("not stays").groupBy("thash").agg(F.collect_list(F.struct("start", "length", "whole")).alias("cuts"))
+    changed = cuts.join(copies.withColumn("copied", F.lit(True)), "thash", "full").join(texts.select("thash", "n"), "thash")
+    changed = write_table(changed, "substring-changed")
+    # the caller's columns travel in a struct: their names can't clash with these
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("thash"))
+    maybe = sieve(changed, "thash")
+    some = packed.where(maybe(F.col("thash")))
+    hit = join_by_class(some, changed, "thash", "n", some.count())
+    first = hit.where("copied and doc_id <=> keeper_doc_id").withColumn("i", F.row_number().over(Window.partitionBy("thash").orderBy("doc_id"))).where("i = 1").drop("i")
+    hit = hit.where("copied is null").unionByName(first)
+    cut = hit.withColumn("text", _without("text", "cuts")).where(F.col("cuts").isNull() | F.col("text").rlike(r"\S"))
+    same = packed.where(~maybe(F.col("thash"))).unionByName(some.join(changed, "thash", "left_anti").select(*packed.columns))
+    out = same.select("row", "text").unionByName(cut.select("row", "text"))
+    return out.select(*[F.col("text") if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
