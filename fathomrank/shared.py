@@ -53,9 +53,17 @@ def drop_scratch(spark: SparkSession, base: str | None = None) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python by the thousand where the session has Spark's default of 10,000, which may be large in bytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a scratch Parquet table and return a read of it: lineage ends here."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
