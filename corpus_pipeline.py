@@ -7,13 +7,20 @@ columns of documents; the last returns a row a packed piece.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathomrank.llm import best_fit_packing, quality_classifier, simhash_dedup, source_mixing, substring_dedup
 from fathomrank.llm.queries import tokenizer_path
 from fathomrank.shared import write_table
 
 
+def likelihood(docs: DataFrame) -> Column:
+    """The weight of a document in the mixture, 0.1 to 1: the score of a classifier fitted on ``docs``, in steps that no rounding moves."""
+    score = quality_classifier.scorer(quality_classifier.fit(docs))
+    return F.lit(0.1) + F.lit(0.9) * F.round(score(F.col("text")), 4)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly labelled scorer keeps."""
     return quality_classifier.kept_documents(docs)
@@ -30,8 +37,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies of documents that bring each source to its target."""
-    return source_mixing.mixed_documents(docs)
+    """The copies of documents that bring each source to its target, good ones likelier."""
+    return source_mixing.mixed_documents(docs, quality=likelihood(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,6 @@ from fathomrank.shared import write_table
 CAPACITY, END_ID = 1024, 2
 PIECES_A_BUCKET = 20_000
 #: Texts beyond this go to the slower encoder, whose time a long run without spaces doesn't square.
-FAST_CHARS = 200_000
 _encoders: dict[str, tuple] = {}
 
 
@@ -53,9 +53,11 @@ def encoders(path: str):
 
 
 def encode(text: str, path: str) -> np.ndarray:
+    """The ids of the vocabulary file; both encoders give the same."""
     slow, fast, own = encoders(path)
-    if len(text) <= FAST_CHARS and not any(x in text for x in own):
-        return fast.encode_to_numpy(text)
+    if not any(x in text for x in own):
+        with contextlib.suppress(ValueError):  # its pattern search gives up on very long runs of one kind
+            return fast.encode_to_numpy(text)
     return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 

@@ -4,9 +4,9 @@ A word's language scores are sums of learned weights of its beginnings and endin
 its byte bigrams and trigrams, and itself where it is in the learned lexicon. Learned transitions
 tie neighbours; forward-backward gives each word's language probabilities, so a text that switches
 languages is labelled word by word, and a document's language is the one with the most expected
-words. The chain is a line of text, cut after ``CHAIN`` words.
+words. The chain is a line of text, however long.
 
-Fitting uses segments of a bounded, hash-chosen number of labelled documents a language, spread
+The model holds a quarter of a megabyte for each language. Fitting uses segments of a bounded, hash-chosen number of labelled documents a language, spread
 over their whole texts; segments of different languages are joined into training chains, for
 labels of documents alone would teach that nothing ever switches. Whole texts are labelled.
 
@@ -26,9 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomrank.llm.kernels import LETTER, Prefix, Words, chunks, mix
+from fathomrank.shared import small_batches
 
-DOCUMENTS_A_LANGUAGE, SEGMENTS, SEGMENT_WORDS, MOST_LANGUAGES, LEXICON = 300, 8, 24, 128, 8000
-CHAIN, BUCKETS, FOLDS = 256, 1 << 16, 5
+DOCUMENTS_A_LANGUAGE, SEGMENTS, SEGMENT_WORDS, LEXICON = 300, 8, 24, 8000
+BUCKETS, FOLDS = 1 << 16, 5
+#: Bytes of text and languages whose scores are held at once.
+TEXT_BYTES, LANGUAGES_A_BLOCK = 1 << 20, 8
 AFFIXES = (1, 2, 3, 4)
 _TAGS = mix(np.arange(1, 32, dtype=np.uint64))
 
@@ -77,11 +80,13 @@ class Observed:
             else:
                 out[at] += weights[bucket]
         for n, bucket in self.grams():
-            along = np.zeros((len(bucket) + 1, weights.shape[1]))
-            np.cumsum(weights[bucket], axis=0, dtype=np.float64, out=along[1:])
-            last = np.maximum(w.end - n + 1, w.start)
             m = len(bucket)
-            out += along[np.minimum(last, m)] - along[np.minimum(w.start, m)]
+            last, first = np.minimum(np.maximum(w.end - n + 1, w.start), m), np.minimum(w.start, m)
+            for k in range(0, weights.shape[1], LANGUAGES_A_BLOCK):
+                part = weights[:, k : k + LANGUAGES_A_BLOCK]
+                along = np.zeros((m + 1, part.shape[1]))
+                np.cumsum(part[bucket], axis=0, dtype=np.float64, out=along[1:])
+                out[:, k : k + LANGUAGES_A_BLOCK] += along[last] - along[first]
         if len(known):
             k = np.minimum(np.searchsorted(known, self.hash), len(known) - 1)
             at = np.flatnonzero(known[k] == self.hash)
@@ -183,8 +188,9 @@ def fit_chains(texts: list[str], labels: np.ndarray, languages: list[str], round
 
 
 def fit(docs: DataFrame, per_language: int = DOCUMENTS_A_LANGUAGE) -> Model:
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.uint64), np.zeros((0, 0)))
@@ -213,17 +219,20 @@ def fit(docs: DataFrame, per_language: int = DOCUMENTS_A_LANGUAGE) -> Model:
 
 
 def chains(buf: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each chain: lines of a document, cut after ``CHAIN`` words."""
+    """First word and length of each chain, a line of a document."""
     n = len(w.start)
     line = np.searchsorted(np.flatnonzero(buf == 10), w.start)
     new = np.ones(n, bool)
     new[1:] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
-    at = np.flatnonzero(new)
-    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    first = np.flatnonzero(place % CHAIN == 0)
+    first = np.flatnonzero(new)
     return first, np.diff(np.append(first, n))
 
 
+def chunk_bytes(model: Model) -> int:
+    """Many chains advance together, but fewer the more languages there are."""
+    return max(1 << 16, TEXT_BYTES * LANGUAGES_A_BLOCK // max(len(model.languages), LANGUAGES_A_BLOCK))
+
+
 def _probabilities(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
     seen = Observed(buf, offs)
     score = seen.emissions(model.weights, model.lexicon, model.known)
@@ -244,7 +253,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pred, score, words = [], [], []
-            for i, j, buf, offs in chunks(b.column(2), 1 << 20):  # many chains advance together
+            for i, j, buf, offs in chunks(b.column(2), chunk_bytes(model)):
                 if not m:
                     pred.append(np.zeros(j - i, int)), score.append(np.zeros(j - i)), words.append(np.zeros(j - i, int))
                     continue
@@ -267,7 +276,7 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, offs in chunks(b.column(2), 1 << 20):  # many chains advance together
+            for i, j, buf, offs in chunks(b.column(2), chunk_bytes(model)):
                 w, gamma = _probabilities(model, buf, offs)
                 best = gamma.argmax(axis=1)
                 new = np.ones(len(best), bool)

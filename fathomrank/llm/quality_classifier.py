@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomrank.llm.kernels import LETTER, LOWER, Prefix, Words, chunks, word_hash
+from fathomrank.shared import small_batches
 
 #: Documents of each class that the scorer is fitted on, in expectation.
 SAMPLE_A_CLASS = 1500
@@ -239,41 +240,54 @@ def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 300, decay: float = 1
 
 
 def fit(docs: DataFrame, per_class: int = SAMPLE_A_CLASS) -> tuple[LabelModel, np.ndarray, float]:
+    small_batches(docs.sparkSession)
     counts = pattern_counts(docs)
     model = fit_labels(counts)
     return model, *fit_linear(*sample(docs, model, counts, per_class))
 
 
-def _scored(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray, float]) -> DataFrame:
-    """All columns of ``docs`` that aren't text, with posterior and score."""
+def _kernel(fitted: tuple[LabelModel, np.ndarray, float]):
+    """Texts to (posterior of the label model, score)."""
     model, weights, bias = fitted
     posterior = model.posterior
-    others = [f for f in docs.schema.fields if f.name != "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores, posts = [np.zeros(0)], [np.zeros(0)]
-            for _, _, buf, offs in chunks(b.column(b.num_columns - 1)):
-                f = Features(buf, offs)
-                z = np.clip(f.mean(weights) + bias, -40, 40)
-                scores.append(np.where(f.words > 0, 1 / (1 + np.exp(-z)), 0.0))
-                full = f.words > 0
-                posts.append(np.where(full, posterior[votes(buf, offs, _known) @ POWER], 0.0))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(posts)), pa.array(np.concatenate(scores))], names=[*b.schema.names[:-1], "_posterior", "_score"])
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        scores, posts = [np.zeros(0)], [np.zeros(0)]
+        for _, _, buf, offs in chunks(texts):
+            f = Features(buf, offs)
+            full = f.words > 0
+            z = np.clip(f.mean(weights) + bias, -40, 40)
+            scores.append(np.where(full, 1 / (1 + np.exp(-z)), 0.0))
+            posts.append(np.where(full, posterior[votes(buf, offs, _known) @ POWER], 0.0))
+        return np.concatenate(posts), np.concatenate(scores)
+
+    return run
+
+
+def scorer(fitted: tuple[LabelModel, np.ndarray, float]):
+    """The linear score of a text as a function of columns; only the text goes to Python."""
+    run = _kernel(fitted)
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], "text").mapInArrow(run, schema + "_posterior double, _score double")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(run(texts)[1])
+
+    return score
 
 
 def judge(docs: DataFrame, per_class: int = SAMPLE_A_CLASS) -> DataFrame:
     """doc_id, posterior (of the label model), score, keep (score at least 0.5)."""
     rows = _documents(docs)
-    out = _scored(rows, fit(rows, per_class))
-    return out.select("doc_id", F.col("_posterior").alias("posterior"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).alias("keep"))
+    run = _kernel(fit(rows, per_class))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            posterior, score = run(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(posterior), pa.array(score), pa.array(score >= 0.5)], names=["doc_id", "posterior", "score", "keep"])
+
+    return rows.select("doc_id", "text").mapInArrow(judged, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, posterior double, score double, keep boolean")
 
 
 def kept_documents(docs: DataFrame, per_class: int = SAMPLE_A_CLASS) -> DataFrame:
     """The documents that the scorer keeps, with their own columns."""
-    columns = docs.columns
-    fitted = fit(docs, per_class)
-    return _scored(docs.withColumn("_text", F.col("text")), fitted).where("_score >= 0.5").withColumnRenamed("_text", "text").select(*columns)
+    return docs.where(scorer(fit(docs, per_class))(F.col("text")) >= 0.5)

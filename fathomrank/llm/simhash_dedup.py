@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomrank.shared import connected_components, join_by_class, write_table
+from fathomrank.shared import connected_components, join_by_class, release, sieve, write_table
 
 #: For each byte value, its 8 bits spread over 8 byte lanes of one word.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -125,15 +125,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (then text), with its own columns."""
-    columns = docs.columns
-    prints = write_table(fingerprints(docs.withColumn("_h", F.xxhash64("text")), keep=("doc_id", "_h")), "simhash")
-    near, _ = classes(prints)
+    # the caller's columns travel in a struct: their names can't clash with these
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("h"))
+    prints = write_table(fingerprints(packed, keep=("doc_id", "h")), "simhash")
+    near, links = classes(prints)
     joined = join_by_class(prints, near, "fp", "n", prints.count())
     # the keeper of a component: a grouped minimum, combined before the shuffle; ids may repeat, so the text's hash is part of it
-    keeper = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_h")).alias("k"))
-    keeper = keeper.select(F.col("k.doc_id").alias("doc_id"), F.col("k._h").alias("_h"))
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    match = rows["doc_id"].eqNullSafe(keeper["doc_id"]) & (rows["_h"] == keeper["_h"])
-    kept = rows.join(keeper, match, "left_semi")
-    one = Window.partitionBy("doc_id", "_h").orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*columns)
+    keeper = joined.groupBy("root").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("k")).where("rows > 1")
+    keeper = write_table(keeper.select("root", F.col("k.doc_id").alias("doc_id"), F.col("k.h").alias("h")), "simhash-keepers")
+    # a document alone in its component stays as it is; only the others meet the keepers
+    groups = write_table(near.join(keeper.select("root"), "root").select("fp", "n"), "simhash-groups")
+    members = join_by_class(prints.where(sieve(groups, "fp")(F.col("fp"))), groups, "fp", "n", prints.count())
+    members = write_table(members.select("doc_id", "h").distinct(), "simhash-members")
+    release(prints, near, links, groups)
+    maybe = sieve(members, "h")(F.col("h"))
+    some = packed.where(maybe)
+    same = lambda t: some["doc_id"].eqNullSafe(t["doc_id"]) & (some["h"] == t["h"])
+    one = Window.partitionBy("doc_id", "h").orderBy("text")
+    kept = some.join(keeper, same(keeper), "left_semi").withColumn("i", F.row_number().over(one)).where("i = 1")
+    alone = packed.where(~maybe).unionByName(some.join(members, same(members), "left_anti"))
+    return alone.select("row").unionByName(kept.select("row")).select("row.*")

@@ -5,8 +5,8 @@ weight. Ascending keys order a source as weighted sampling without replacement w
 source's budget takes complete epochs of all its documents first; what remains is filled in key
 order by prefix sums, and one document a source, at the end of the budget, is taken in part.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; equal
-documents (repeated rows) are sampled as separate ones; a source whose documents are all empty
+Defined results: null text has size 0; a null source is a source of its own, last in order; u is drawn from the
+text where there is no id; rows of one id (repeated rows) share u and are taken one after the other; a source whose documents are all empty
 has target 0; an empty table gives no rows; other columns of the input are ignored by ``mix`` and
 kept by ``mixed_documents``.
 """
@@ -63,17 +63,33 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     return ranked.withColumn("target", F.when(even > cap_size, cap_size.cast("double")).otherwise(even))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken (and the columns in ``keep``)."""
+def bucketed(drawn: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """Add bucket: a bucket precedes the next in the order of key and has about ``rows_a_bucket`` rows, whatever the weights.
+
+    Keys are counted in cells of a 64th of an octave (doubles have under 140,000 of them). Cells become runs of buckets by
+    their rank among all rows, and a key's place within its cell chooses among these.
+    """
+    octave = F.log2(F.greatest(F.col("key"), F.lit(2.0**-1000))) * F.lit(64.0)
+    cell = F.floor(octave).cast("int")
+    cells = drawn.groupBy(cell.alias("cell")).agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = write_table(cells.select("cell", "_rows", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier")), "mix-cells")
+    rank = F.col("_earlier") + (octave - F.floor(octave)) * F.col("_rows")
+    rows = drawn.withColumn("cell", cell).join(F.broadcast(cells), "cell")
+    return rows.withColumn("bucket", F.floor(rank / F.lit(float(rows_a_bucket))).cast("long")).drop("cell", "_rows", "_earlier")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, keep: list[str] | None = None, quality: Column | None = None) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken (and the columns in ``keep``).
+
+    ``quality`` is the weight of a document, a positive number; by default ``quality_weight`` of its text.
+    """
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))  # "t" sorts after every source
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5("text")))  # without an id, the text tells rows apart
     drawn = docs.select(
-        "doc_id", *(keep or []), skey.alias("skey"), word_count(F.col("text")).alias("size"), (-F.ln(uniform(F.col("doc_id"))) / quality_weight(F.col("text"))).alias("key")
+        "doc_id", *(keep or []), skey.alias("skey"), word_count(F.col("text")).alias("size"), (-F.ln(uniform(named)) / (quality_weight(F.col("text")) if quality is None else quality)).alias("key")
     )
-    drawn = write_table(drawn, "mix-drawn")
-    n = drawn.count()
-    buckets = max(1, n // ROWS_A_BUCKET)
-    # 1 - exp(-key) grows with the key: a bucket precedes the next in key order, whatever the skew
-    drawn = drawn.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)).cast("long"))
+    drawn = bucketed(write_table(drawn, "mix-drawn"))
     sums = drawn.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     sums = write_table(sums, "mix-buckets")
     sources = targets(sums.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
@@ -88,10 +104,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, kee
     return rows.select("doc_id", *(keep or []), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, quality: Column | None = None) -> DataFrame:
     """The mix itself: a row for each copy taken, the one cut in part with just the words taken."""
     columns = docs.columns
-    rows = mix(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])), weights, cap, keep=["_row"])
+    rows = mix(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])), weights, cap, ["_row"], quality)
     rows = rows.where("taken > 0")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     part = (F.col("taken") - whole * F.col("size")).cast("int")
@@ -111,7 +127,7 @@ with d as (
   select doc_id, coalesce('s' || source, 't') as skey,
     case when text is null then 0 else len(regexp_extract_all(text, '{WORD}')) end as size,
     case when length(text) > 0 then 0.1::double + 0.9::double * length(translate(text, '{symbols}', ''))::double / length(text)::double else 0.1::double end as w,
-    (('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double as u
+    (('0x' || substr(md5(coalesce(doc_id::varchar, 'null' || md5(text), 'null')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double as u
   from documents),
 s as (select skey, sum(size)::bigint as source_size, 1 + (row_number() over (order by skey) - 1) % 3 as weight from d group by skey),
 r as (select *, 3 * source_size as most, sum(source_size) over () as total,

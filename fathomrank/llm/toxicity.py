@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomrank.llm.kernels import LETTER, Prefix, Words, chunks, mix, word_hash
+from fathomrank.shared import small_batches
 
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES, MOST_SWAPS = 4000, 6000, 2048, 2000
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 4000, 6000, 2048
 MIN_DOCUMENTS, MIN_CHI2 = 4, 30.0
 STEMS = (4, 5, 6, 7, 8)
 FOLDS = 5
@@ -226,6 +227,7 @@ def fit_model(x: list[list[int]], y: np.ndarray, a: list[list[int]], b: list[lis
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    small_batches(docs.sparkSession)
     chosen, share = training_labels(labels)
     train = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     n = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(odds / (1 - odds))))
     known = select(train, n[1], n[0])
     rows = sorted((list(r.x), r.toxic, [list(s) for s in r.a], [list(s) for s in r.b]) for r in _examples(train, known).collect())
-    swaps = [s for r in rows for s in zip(r[2], r[3])][:MOST_SWAPS]
+    swaps = [s for r in rows for s in zip(r[2], r[3])]
     number = {int(k): i for i, k in enumerate(known)}
     alone = [[number[term_feature(t)]] for g in IDENTITY for t in g]
     other = [[number[term_feature(g[(i + 1) % len(g)])]] for g in IDENTITY for i in range(len(g))]

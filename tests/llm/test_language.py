@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import duckdb
@@ -69,3 +70,19 @@ def test_empty_and_unlabelled_tables(spark):
     assert (got.lang_pred, got.score) == ("und", 0.0)
     one = crf.predict(spark.createDataFrame([(1, "some words", "xx", "s", 0.0), (2, "other words", "xx", "s", 0.0), (3, "third", "xx", "s", 0.0)], DOCS))
     assert {r.lang_pred for r in one.collect()} == {"xx"}
+
+
+def test_many_languages_and_long_lines(spark):
+    r = random.Random(4)
+    words = {f"l{i:03d}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{r.choice('aeiou')}{chr(97 + k)}" for k in range(8)] for i in range(140)}
+    rows = [(i * 20 + k, " ".join(r.choice(w) for _ in range(12)), lang) for i, (lang, w) in enumerate(words.items()) for k in range(20)]
+    switched = " ".join([r.choice(words["l001"]) for _ in range(300)] + [r.choice(words["l077"]) for _ in range(2000)])
+    docs = spark.createDataFrame([*rows, (90_000, switched, None)], "doc_id long, text string, lang string")
+    model = crf.fit(docs, 6)
+    assert model.languages == sorted(words)
+    got = crf.identify(docs, model).toPandas().set_index("doc_id")
+    assert got.lang_pred[90_000] == "l077"
+    assert np.mean([got.lang_pred[d] == lang for d, _, lang in rows if got.held_out[d]]) > 0.9
+    buf = np.frombuffer(switched.encode(), np.uint8)
+    first, length = crf.chains(buf, crf.Words(buf, np.array([0, len(buf)]), crf.LETTER))
+    assert length.tolist() == [2300]

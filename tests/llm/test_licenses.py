@@ -55,3 +55,51 @@ def test_empty_table(spark):
 
 def test_edit_distance():
     assert ls.edit_distance(list("kitten"), list("sitting")) == 3 and ls.edit_distance([], list("ab")) == 2
+
+
+def plain_spans(text):
+    """Verified spans of one text, without Spark and without hashes: (template, lo, hi, votes)."""
+    w, k, out = ls.words_of(text or ""), ls.K, []
+    for t, (_, template) in enumerate(ls.TEMPLATES):
+        q = ls.words_of(template)
+        by = {}
+        for p in range(len(w) - k + 1):
+            for s in range(len(q) - k + 1):
+                if w[p : p + k] == q[s : s + k]:
+                    by.setdefault(p - s, []).append((p, s))
+        groups, before = [], None
+        for d in sorted(by):
+            now = (d, min(by[d])[0], max(by[d])[0])
+            far = before is None or d - before[0] > ls.DRIFT or now[1] > before[2] + k + 2 * ls.DRIFT or now[2] + k + 2 * ls.DRIFT < before[1]
+            if far:
+                groups.append([])
+            groups[-1] += by[d]
+            before = now
+        for g in groups:
+            lo, hi, a, z = min(g)[0], max(g)[0] + k, min(s for _, s in g), max(s for _, s in g) + k
+            like = 1 - ls.edit_distance(w[lo:hi], q[a:z]) / max(hi - lo, z - a)
+            if len(g) >= ls.MIN_VOTES and like >= ls.SIMILARITY and ((z - a) / len(q) >= ls.COVERAGE or z - a >= ls.LONG_SPAN):
+                out.append((t, lo, hi, len(g)))
+    return sorted(out)
+
+
+def test_votes_and_spans_against_brute_force(spark):
+    r = random.Random(12)
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            w = r.choice(ls.TEMPLATES)[1].split()
+            a = r.randrange(max(1, len(w) // 2))
+            w = w[a : a + r.randrange(4, len(w) + 1)]
+            for _ in range(r.randrange(3)):
+                w.insert(r.randrange(len(w)), "odd") if r.random() < 0.5 else w.pop(r.randrange(len(w)))
+            parts += w + ["filler"] * r.randrange(3)
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", "odd"])], "doc_id long, text string")
+    scanned = ls.write_table(ls._scan(docs, ls.PHRASES, ls.TEMPLATES, ls.K), "test-licences")
+    got = {}
+    for x in ls.spans(scanned).join(scanned.select("uid", "doc_id"), "uid").collect():
+        got.setdefault(x.doc_id, []).append((x.template, x.lo, x.hi, x.votes))
+    want = {i: s for i, t in enumerate(texts) if (s := plain_spans(t))}
+    assert {i: sorted(s) for i, s in got.items()} == want and sum(map(len, want.values())) > 20

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fathomrank.llm import best_fit_packing as packing
@@ -59,6 +60,17 @@ def test_mixed_copies_hold_the_words_taken(docs):
     assert mixed.text.map(lambda t: len(t.split())).sum() == taken.taken.sum()
 
 
+def test_buckets_are_even_and_in_order_whatever_the_weights(spark):
+    texts = F.when(F.col("id") % 3 > 0, F.lit("!!!")).otherwise(F.lit("word word"))
+    docs = spark.range(100_000).select(F.when(F.col("id") < 95_000, F.col("id")).alias("doc_id"), F.when(F.col("id") < 95_000, texts).otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.lit("s").alias("source"))
+    key = (-F.ln(mixing.uniform(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))) / mixing.quality_weight(F.col("text"))).alias("key")
+    got = mixing.bucketed(docs.select("doc_id", key), 1000).groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("bucket").collect()
+    assert len(got) == 100 and max(r.n for r in got) < 1500
+    assert all(a.hi <= b.lo for a, b in zip(got, got[1:]))
+    taken = mixing.mix(docs).agg(F.sum("taken"), F.first("target")).first()
+    assert abs(taken[0] - taken[1]) < 1
+
+
 def test_mixing_is_repeatable(docs):
     a = mixing.mix(docs).toPandas().sort_values(["doc_id", "size"]).reset_index(drop=True)
     b = mixing.mix(docs.repartition(7)).toPandas().sort_values(["doc_id", "size"]).reset_index(drop=True)
@@ -96,6 +108,12 @@ def test_fast_encoder_equals_the_exact_one():
         assert packing.encode(t, tokenizer_path()).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs_of_one_kind_get_the_same_ids():
+    tok = Tokenizer.from_file(tokenizer_path())
+    for t in (" " * 600_000, "ab " * 100_000, "x" * 250_001, "\n\t" * 200_000 + "y"):  # the fast encoder gives up on the first
+        assert packing.encode(t, tokenizer_path()).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_plan_is_exact_where_complements_exist():
     counts = {600: 5, 424: 5, 1024: 3, 500: 4, 300: 4, 224: 4, 700: 2, 200: 2, 100: 2, 24: 2}
     plan = packing.plan(counts)

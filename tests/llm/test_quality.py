@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -74,3 +76,71 @@ def test_kept_documents_have_their_columns(odd):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert qc.judge(docs).count() == 0 and qc.kept_documents(docs).count() == 0
+
+
+def test_clashing_columns(odd):
+    docs = odd.selectExpr("doc_id", "text", "1 as _score", "2 as _text", "3 as _posterior", "'x' as score", "4 as draw", "5 as row", "6 as keep")
+    got = qc.kept_documents(docs)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, *r[2:]) for r in got.collect()} == {(d, 1, 2, 3, "x", 4, 5, 6) for d in [*range(60), 503, None]}
+    assert qc.judge(docs).where("keep").count() == got.count()
+
+
+def plain_em(patterns, rounds=200):
+    """The label model document by document: posteriors of good."""
+    m = len(patterns[0])
+    good = [[v == 2 for v in p] for p in patterns]
+    junk = [[v == 1 for v in p] for p in patterns]
+    post = [[0.0 if any(j) else 0.9, *((x + 0.05) / (sum(j) + 1) for x in j)] for j in junk]
+    for _ in range(rounds):
+        post = [[x / sum(q) for x in q] for q in post]
+        p, share = [], []
+        for c in range(m + 1):
+            p.append([])
+            for k in range(m):
+                right, wrong = sum(q[c] for q, g in zip(post, good) if g[k]), sum(q[c] for q, j in zip(post, junk) if j[k])
+                if c == 0:
+                    right, wrong = right + 999, wrong + 1
+                elif c - 1 == k:
+                    wrong += 10
+                p[c].append((right + 1) / (right + wrong + 2))
+            share.append((sum(q[c] for q in post) + 1) / (len(post) + m + 1))
+        new = []
+        for g, j in zip(good, junk):
+            like = [share[c] * math.prod(p[c][k] if g[k] else 1 - p[c][k] if j[k] else 1 for k in range(m)) for c in range(m + 1)]
+            new.append([x / sum(like) for x in like])
+        done = max(abs(x - y) for a, b in zip(new, post) for x, y in zip(a, b)) < 1e-9
+        post = new
+        if done:
+            break
+    return [q[0] / sum(q) for q in post]
+
+
+def test_label_model_against_plain_expectation_maximisation():
+    r = random.Random(3)
+    patterns = [[r.choice([0, 2, 2, 2, 1]) if i % 3 else r.choice([0, 2]) for _ in qc.LABELLERS] for i in range(60)]
+    keys = [int(np.dot(p, qc.POWER)) for p in patterns]
+    model = qc.fit_labels({k: keys.count(k) for k in keys})
+    assert np.abs(model.posterior[keys] - plain_em(patterns)).max() < 1e-6
+
+
+def plain_score(text, weights, bias):
+    raw = (text or "").encode()
+    kind = [(1 if b >= 128 or chr(b).islower() else 2 if chr(b).isupper() else 0 if chr(b).isdigit() or b < 32 or b == 127 else 7 if b == 32 else {"!": 4, "|": 5, ".": 6, "?": 6}.get(chr(b), 8 if chr(b) in ",;:'\"-()" else 3)) for b in raw]
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", raw)]
+    if not words:
+        return 0.0
+    n = max(len(raw) - 2, 0)
+    grams = sum(weights[(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 21] for i in range(n))
+    shapes = 0.0
+    for k, (a, z) in enumerate(words):
+        same = k > 0 and raw[words[k - 1][0] : words[k - 1][1]] == raw[a:z]
+        size = sum(z - a >= x for x in (3, 6, 10))
+        shapes += weights[qc.TRIGRAMS + (((same * 9 + kind[a]) * 9 + kind[z - 1]) * 4 + size) % qc.SHAPES]
+    return 1 / (1 + math.exp(-(grams / (n + 200) + shapes / (len(words) + 20) + bias)))
+
+
+def test_scores_against_plain_arithmetic(odd):
+    model, weights, bias = qc.fit(odd)[0], np.random.default_rng(0).normal(0, 3, qc.DIMENSIONS), 0.2
+    got = odd.select("text", qc.scorer((model, weights, bias))("text").alias("s")).collect()
+    assert all(abs(r.s - plain_score(r.text, weights, bias)) < 1e-6 for r in got) and len({round(r.s, 6) for r in got}) > 20

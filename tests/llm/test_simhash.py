@@ -91,6 +91,14 @@ def test_components_without_id_or_with_the_same_id_stay_apart(spark):
     assert sorted(r.text for r in got) == sorted(texts)
 
 
+def test_clashing_columns(spark):
+    texts = [" ".join(f"{chr(97 + i)}{j * (i + 3) % 47}" for j in range(60)) for i in range(3)]
+    docs = spark.createDataFrame([(i, texts[i % 3], 7, 8, 9, "a", 10) for i in range(6)], "doc_id long, text string, h int, _h int, i int, row string, fp int")
+    got = sh.near_deduplicated(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(i, texts[i], 7, 8, 9, "a", 10) for i in range(3)]
+    assert sh.near_duplicates(docs).count() == 6
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert sh.near_duplicates(docs).count() == 0 and sh.near_deduplicated(docs).count() == 0

@@ -161,3 +161,33 @@ def test_bands_reach_the_recall():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert sd.repeated(docs).count() == 0 and sd.deduplicated(docs).count() == 0
+
+
+def test_what_one_document_repeats_is_left_alone(spark):
+    own, shared = line(50), line(60)
+    rows = [(1, "\n".join([own] * 4), "x", 1), (2, f"{shared}\n{line(30)}\n{shared}", "x", 1), (3, line(40) + " " + shared, "x", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id for r in sd.repeated(docs).collect()} == {2, 3}
+    left = {r.doc_id: r.text for r in sd.deduplicated(docs).collect()}
+    assert left[1] == rows[0][1] and left[2].split("\n")[0] == shared and left[2].count(shared) == 1 and shared not in left[3]
+
+
+def test_components_are_those_of_all_pairs(spark):
+    """Many near-copies of a few lines: stars leave some links out, and no component may break."""
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        w = line(40).split() if i % 50 == 0 else rows[-r.randrange(1, min(i % 50, 6) + 1)][1].split()
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"new{chr(97 + i % 26)}{chr(97 + i // 26)}{r.choice('abcdef')}"
+        rows.append((i, " ".join(w), "x", 1))
+    got = sd.repeated_lines(spark.createDataFrame(rows, DOCS), recall=0.999999).toPandas()
+    assert sorted(sorted(g.doc_id) for _, g in got.groupby("cluster_id")) == sorted(sorted(d for _, d, _, _ in g) for g in brute(rows))
+
+
+def test_clashing_columns(spark):
+    text = line(60)
+    docs = spark.createDataFrame([(1, text, 3, 4, 5, "a"), (2, text, 3, 4, 5, "b"), (3, line(9) + "\n" + text, 3, 4, 5, "c")], "doc_id long, text string, _gone int, thash int, n int, row string")
+    got = sd.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert {r.doc_id: tuple(r)[2:] for r in got.collect()} == {1: (3, 4, 5, "a"), 3: (3, 4, 5, "c")}

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -74,3 +76,24 @@ def test_empty_tables(spark):
     assert tx.classify(docs, labels).count() == 0
     some = spark.createDataFrame([(1, "a b", 0, 0.0)], DOCS)
     assert tx.classify(some, labels).first().score < 0.5
+
+
+def test_scores_against_plain_arithmetic(spark):
+    rows, labels = planted([(9000, "VILENESS at the wretch's door. Éa x", 1, 0.1), (9001, None, 1, 0.1)])
+    docs, labelled = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = tx.fit(docs, labelled)
+    weight = dict(zip(model.known.tolist(), model.weights.tolist()))
+    for r in tx.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words = re.findall(rb"[a-z\x80-\xff]+", (r.text or "").lower().encode())
+        found = {tx.word_hash(w) ^ int(tx._TAGS[0]) for w in words} | {tx.word_hash(w[:n]) ^ int(tx._TAGS[n]) for w in words for n in tx.STEMS if len(w) > n}
+        assert abs(r.score - 1 / (1 + math.exp(-(sum(weight.get(f, 0.0) for f in found) + model.bias)))) < 1e-9
+
+
+def test_swaps_of_clean_mentions_count_however_many_toxic_ones_there_are(spark):
+    r = random.Random(5)
+    toxic = [(i, " ".join(f"vile {r.choice('muslim christian jewish'.split())} thing{k}." for k in range(30)), None, 0.0) for i in range(100)]
+    clean = [(1000 + i, f"a {r.choice('muslim christian'.split())} neighbour waves{i % 7}.", None, 0.0) for i in range(300)]
+    labels = [(d, 1, int(d < 1000)) for d, *_ in toxic + clean]
+    docs = spark.createDataFrame([*toxic, *clean, (5000, "the muslim guest", 1, 0.1), (5001, "the hindu guest", 1, 0.1)], DOCS)
+    at = {x.doc_id: x.score for x in tx.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert abs(at[5000] - at[5001]) < 0.05
