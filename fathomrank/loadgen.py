@@ -40,6 +40,34 @@ def saturation(rungs: list[tuple[float, float]], unloaded: float) -> float | Non
     return next((rate for rate, p50 in rungs if p50 > 2 * unloaded), None)
 
 
+def ladder(request: Callable[[int], object], rates: tuple[float, ...], count: int, inflight: int) -> list[tuple[float, float, int]]:
+    """(rate, median latency, shed) of each rate, least first; the climb ends where over half the requests are shed."""
+    out = []
+    for rate in sorted(rates):
+        run = drive(request, rate, count, inflight)
+        out.append((rate, sorted(run.latencies)[(len(run.latencies) - 1) // 2] if run.latencies else float("inf"), run.shed))
+        if run.shed * 2 > count:
+            break
+    return out
+
+
+def under_write(request: Callable[[int], object], write: Callable[[], object], rate: float, count: int, inflight: int) -> tuple[list[float], list[float]]:
+    """Latencies of requests that were due while ``write`` ran and of the others; it begins a third of the way in."""
+    run, span = Run(), [0.0, 0.0]
+
+    def job() -> None:
+        span[0] = time.monotonic()
+        write()
+        span[1] = time.monotonic()
+
+    writer = threading.Timer(count / rate / 3, job)
+    writer.start()
+    run = drive(request, rate, count, inflight)
+    writer.join()
+    during = [x for due, x in zip(run.due, run.latencies) if span[0] <= due < span[1]]
+    return during, [x for due, x in zip(run.due, run.latencies) if not span[0] <= due < span[1]]
+
+
 def headline(rungs: list[tuple[float, float]], saturated: float) -> float:
     """The rung nearest half the saturated rate, ties to the lower."""
     return min(rungs, key=lambda r: (abs(r[0] - saturated / 2), r[0]))[0]
@@ -48,6 +76,7 @@ def headline(rungs: list[tuple[float, float]], saturated: float) -> float:
 @dataclass
 class Run:
     latencies: list[float] = field(default_factory=list)
+    due: list[float] = field(default_factory=list)
     shed: int = 0
 
 
@@ -64,6 +93,7 @@ def drive(request: Callable[[int], object], rate: float, count: int, inflight: i
             request(i)
             with lock:
                 run.latencies.append(time.monotonic() - due)
+                run.due.append(due)
         finally:
             slots.release()
 

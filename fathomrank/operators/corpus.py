@@ -16,12 +16,24 @@ MOST_DOCUMENTS = 2**32 - 1
 ZERO_TIME_MICROS = -62_135_596_800_000_000
 
 
+def _bad_component(x):
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
+def violations(docs: DataFrame) -> DataFrame:
+    """One row of what ingest would refuse: empty_keys, repeated_keys, bad_vectors and how many widths there are."""
+    size = F.when(F.coalesce(F.size("vector"), F.lit(-1)) > 0, F.size("vector"))
+    empty = F.col("key").isNull() | (F.col("key") == "")
+    row = docs.agg(F.count_if(empty).alias("empty_keys"), F.count_if(F.coalesce(F.exists("vector", _bad_component), F.lit(False))).alias("bad_vectors"), F.count_distinct(size).alias("widths"))
+    twice = docs.where(~empty).groupBy("key").count().where("count > 1").agg(F.count("*").alias("repeated_keys"))
+    return row.withColumn("_", F.lit(0)).join(F.broadcast(twice.withColumn("_", F.lit(0))), "_").select("empty_keys", "repeated_keys", "bad_vectors", "widths")
+
+
 def validate(docs: DataFrame, committed: DataFrame | None = None, already: int = 0, width: int | None = None) -> None:
     """Raise for what ingest refuses, by one pass of counts and one grouped pass over keys."""
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     size = F.when(F.coalesce(F.size("vector"), F.lit(-1)) > 0, F.size("vector"))
     n, empty, infinite, low, high = docs.agg(
-        F.count("*"), F.count_if(F.col("key").isNull() | (F.col("key") == "")), F.count_if(F.coalesce(F.exists("vector", bad), F.lit(False))), F.min(size), F.max(size)
+        F.count("*"), F.count_if(F.col("key").isNull() | (F.col("key") == "")), F.count_if(F.coalesce(F.exists("vector", _bad_component), F.lit(False))), F.min(size), F.max(size)
     ).first()
     if empty:
         raise EmptyKey(f"{empty} documents have no key")

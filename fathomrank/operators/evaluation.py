@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomrank.functions.columns import ordered_sum
-from fathomrank.operators.fusion import Fuser, fused
-from fathomrank.operators.scorers import Scorer
-from fathomrank.operators.search import streams_of
+from fathomrank.operators.fusion import Fuser
+from fathomrank.operators.scorers import GraphScorer, Scorer
+from fathomrank.operators.search import Streams
 from fathomrank.operators.topk import ranking, top_k
-from fathomrank.schema import BadQueryId, DuplicateQuery, DuplicateRanked, ForeignDocument, NoIterations, NoQueries, NoScorers, OverfetchRange, Unpaired
+from fathomrank.schema import BadQueryId, DuplicateQuery, DuplicateRanked, ForeignDocument, NoIterations, NoQueries, NoScorers, OverfetchRange, UnknownQuery, UnmatchedVectors, Unpaired
+from fathomrank.shared import write_table
 
 
 @dataclass
@@ -72,26 +73,60 @@ def check(queries: DataFrame, arms: list[Arm], k: int, qrels: DataFrame | None =
 
 
 def check_ranked(ranked: DataFrame) -> None:
-    if not ranked.groupBy("qid", "doc").count().where("count > 1").isEmpty():
+    if not ranked.groupBy(*[c for c in ("arm", "qid", "doc") if c in ranked.columns]).count().where("count > 1").isEmpty():
         raise DuplicateRanked("a document is ranked twice for a query")
 
 
-def ranked_by(arm: Arm, queries: DataFrame, k: int) -> DataFrame:
+def ranked_by(arm: Arm, queries: DataFrame, k: int, made: Streams | None = None) -> DataFrame:
     """An arm's ranking: fetch k times over-fetch, keep k."""
-    deep = k * arm.overfetch
-    return arm.fuser(streams_of(queries, deep, arm.scorers), deep).where(F.col("rank") <= k)
+    deep, made = k * arm.overfetch, made or Streams(queries)
+    return arm.fuser([made.of(s, deep) for s in arm.scorers], deep).where(F.col("rank") <= k)
 
 
-def evaluate(arms: list[Arm], queries: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """(arm, qid, ndcg) for all arms and queries in one plan."""
-    check(queries, arms, k)
+def evaluate(arms: list[Arm], queries: DataFrame, qrels: DataFrame, k: int, corpus=None) -> DataFrame:
+    """(arm, qid, ndcg) for all arms and queries in one plan; a scorer that several arms share runs once.
+
+    With ``corpus``, judgments of documents that it lacks are refused.
+    """
+    check(queries, arms, k, qrels, corpus)
+    made, depth = Streams(queries), {}
+    for a in arms:
+        for s in a.scorers:
+            depth[id(s)] = s, max(depth.get(id(s), (s, 0))[1], k * a.overfetch)
+    for s, deep in sorted(depth.values(), key=lambda x: isinstance(x[0], GraphScorer)):  # seed scorers first
+        made.of(s, deep)
+    ranked = None
+    for a in arms:
+        rows = ranked_by(a, queries, k, made).withColumn("arm", F.lit(a.name))
+        ranked = rows if ranked is None else ranked.unionByName(rows)
+    ranked = write_table(ranked, "ranked")
+    check_ranked(ranked)
     out = None
     for a in arms:
-        rows = ndcg(queries, ranked_by(a, queries, k), qrels, k).withColumn("arm", F.lit(a.name))
+        rows = ndcg(queries, ranked.where(F.col("arm") == a.name).drop("arm"), qrels, k).withColumn("arm", F.lit(a.name))
         out = rows if out is None else out.unionByName(rows)
     return out.select("arm", "qid", "ndcg")
 
 
+def judged(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """The queries that have judgments (qid, doc, grade); a judgment of an unknown query is refused."""
+    if not qrels.join(queries.select("qid"), "qid", "left_anti").isEmpty():
+        raise UnknownQuery("a judgment names a query that isn't there")
+    return queries.join(qrels.select("qid").distinct(), "qid", "left_semi")
+
+
+def with_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Queries (qid, text) with their vectors (qid, text, vector): all have one of the same text and of one model, or it is refused."""
+    found = vectors.select("qid", F.col("text").alias("_text"), F.col("vector").alias("_vector"))
+    both = queries.join(found, "qid", "left")
+    missing, other = both.agg(F.count_if(F.col("_vector").isNull()), F.count_if(F.col("_vector").isNotNull() & ~F.col("text").eqNullSafe(F.col("_text")))).first()
+    if missing or other:
+        raise UnmatchedVectors(f"{missing} queries have no vector, {other} one of another text")
+    if "model" in vectors.columns and vectors.join(queries.select("qid"), "qid", "left_semi").select("model").distinct().count() > 1:
+        raise UnmatchedVectors("vectors of several models")
+    return both.withColumn("vector", F.col("_vector")).drop("_text", "_vector")
+
+
 def summary(runs: DataFrame) -> DataFrame:
     """(arm, mean_ndcg, queries); a query that found nothing counts 0."""
     return runs.groupBy("arm").agg((ordered_sum(F.col("qid"), F.col("ndcg")) / F.count("*")).alias("mean_ndcg"), F.count("*").alias("queries"))
@@ -132,19 +167,28 @@ def top_moves(deltas: DataFrame, n: int) -> DataFrame:
 
 
 def sweep(queries: DataFrame, qrels: DataFrame, base: list[DataFrame], more: list[DataFrame], k: int, constants: tuple[float, ...], overfetch: tuple[int, ...]) -> DataFrame:
-    """(constant, overfetch, base_ndcg, arm_ndcg, delta_sign) over a grid, from streams fetched once at the greatest depth."""
-    out = None
-    for c in constants:
-        for m in overfetch:
-            means = []
-            for streams in (base, more):
-                cut = [s.where(F.col("rank") <= k * m) for s in streams]
-                per = ndcg(queries, fused(cut, k, [1.0] * len(cut), c), qrels, k)
-                means.append(per.agg((ordered_sum(F.col("qid"), F.col("ndcg")) / F.count("*")).alias("v")))
-            row = means[0].withColumnRenamed("v", "base_ndcg").withColumn("_", F.lit(0)).join(F.broadcast(means[1].withColumnRenamed("v", "arm_ndcg").withColumn("_", F.lit(0))), "_").drop("_")
-            row = row.select(F.lit(float(c)).alias("constant"), F.lit(m).alias("overfetch"), "base_ndcg", "arm_ndcg", F.signum(F.round(F.col("arm_ndcg") - F.col("base_ndcg"), 12)).cast("int").alias("delta_sign"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """(constant, overfetch, base_ndcg, arm_ndcg, delta_sign) over a grid, from streams fetched once at the greatest depth.
+
+    All cells are one plan: each query and vote is repeated for the stated cells, and a cell's query is named by both.
+    """
+    cells = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(float(c)).alias("constant"), F.lit(m).alias("overfetch")) for side in (0, 1) for c in constants for m in overfetch])
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("cell", F.explode(cells)).withColumn("qid", F.concat_ws("|", "cell.side", "cell.constant", "cell.overfetch", "qid"))
+
+    votes = None
+    for side, streams in enumerate((base, more)):
+        for stream in streams:
+            rows = spread(stream.select("qid", "doc", "rank")).where((F.col("cell.side") == side) & (F.col("rank") <= k * F.col("cell.overfetch")))
+            votes = rows if votes is None else votes.unionByName(rows)
+    votes = votes.withColumn("vote", F.lit(1.0) * (F.lit(1.0) / (F.col("cell.constant") + F.col("rank")))).where("vote <> 0")
+    ranked = top_k(votes.groupBy("qid", "doc").agg(ordered_sum(F.col("rank"), F.col("vote")).alias("score")), k)
+    asked = spread(queries.select("qid"))
+    per = ndcg(asked, ranked, spread(qrels).drop("cell") if "qid" in qrels.columns else qrels, k)
+    mean = per.join(asked, "qid").groupBy("cell").agg((ordered_sum(F.col("qid"), F.col("ndcg")) / F.count("*")).alias("v"))
+    value = lambda side: F.max(F.when(F.col("cell.side") == side, F.col("v")))
+    rows = mean.groupBy("cell.constant", "cell.overfetch").agg(value(0).alias("base_ndcg"), value(1).alias("arm_ndcg"))
+    return rows.select("constant", "overfetch", "base_ndcg", "arm_ndcg", F.signum(F.round(F.col("arm_ndcg") - F.col("base_ndcg"), 12)).cast("int").alias("delta_sign"))
 
 
 def sign_flips(grid: DataFrame) -> int:

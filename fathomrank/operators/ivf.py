@@ -7,20 +7,23 @@ spherical k-means rounds on at most ``IVF_SAMPLE`` vectors. Lists number at most
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomrank.functions.columns import has_direction
 from fathomrank.operators.corpus import Corpus
 from fathomrank.operators.scorers import _HITS, VectorScorer, _emit, _none, cosine_block
 from fathomrank.operators.topk import top_k
-from fathomrank.schema import IVF_GATE, IVF_MOST_LISTS, IVF_PROBES, IVF_ROUNDS, IVF_SAMPLE
-from fathomrank.shared import write_table
+from fathomrank.schema import IVF_GATE, IVF_MOST_LISTS, IVF_PROBES, IVF_ROUNDS, IVF_SAMPLE, WidthMismatch
+from fathomrank.shared import shared_dir
+
+_LISTS = "doc long, vector array<float>, list int"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -47,12 +50,22 @@ def train(sample: np.ndarray, lists: int, rounds: int = IVF_ROUNDS) -> np.ndarra
 @dataclass
 class InvertedFile:
     centroids: np.ndarray
-    lists: DataFrame  # doc, vector, list
+    lists: DataFrame | None  # doc, vector, list: files by list
     sizes: dict[int, int]
+    covered: int  # documents below this number are in the lists
+
+    @staticmethod
+    def none() -> InvertedFile:
+        """An index of nothing: every document is a candidate."""
+        return InvertedFile(np.zeros((0, 0)), None, {}, 0)
+
+    @staticmethod
+    def stored(spark: SparkSession, path: str, centroids: list, sizes: dict[int, int], covered: int) -> InvertedFile:
+        return InvertedFile(np.array(centroids), spark.read.schema(_LISTS).parquet(path), sizes, covered)
 
     @staticmethod
-    def build(corpus: Corpus, gate: int = IVF_GATE) -> InvertedFile | None:
-        """None below the gate or without vectors: the exact scan is the index then."""
+    def build(corpus: Corpus, gate: int = IVF_GATE, path: str | None = None) -> InvertedFile | None:
+        """None below the gate or without vectors: the exact scan is the index then. ``path`` is where the lists are kept."""
         rows = corpus.docs.where(has_direction(F.col("vector"))).select("doc", "vector")
         n, most = rows.agg(F.count("*"), F.max("doc")).first()
         if n == 0 or n < gate:
@@ -71,9 +84,22 @@ class InvertedFile:
                 x = _unit(_rows(b.column(1))) if b.num_rows else np.zeros((0, centroids.shape[1]))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array((x @ centroids.T).argmax(axis=1).astype(np.int32))], names=["doc", "vector", "list"])
 
-        assigned = write_table(rows.mapInArrow(run, "doc long, vector array<float>, list int"), "ivf-lists")
-        sizes = {r[0]: r[1] for r in assigned.groupBy("list").count().collect()}
-        return InvertedFile(centroids, assigned, sizes)
+        spark = corpus.docs.sparkSession
+        path = path or f"{shared_dir(spark)}/ivf-lists-{uuid.uuid4().hex[:12]}"
+        # a list is a folder, so a probe reads its own lists' files alone
+        rows.mapInArrow(run, _LISTS).hint("rebalance", "list").sortWithinPartitions("list", "doc").write.partitionBy("list").parquet(path)
+        assigned = spark.read.schema(_LISTS).parquet(path)
+        sizes = {r[0]: r[1] for r in assigned.groupBy("list").count().collect()}  # at most IVF_MOST_LISTS
+        return InvertedFile(centroids, assigned, sizes, corpus.docs.agg(F.max("doc")).first()[0] + 1)
+
+    def candidates(self, corpus: Corpus, vector: list[float], k: int) -> DataFrame:
+        """doc of the probed lists' members and of all later documents with a vector, ascending; all of them for another width."""
+        v = np.array(vector, dtype=np.float64)
+        every = corpus.docs.where(F.size("vector") > 0).select("doc")
+        if self.lists is None or len(v) != self.centroids.shape[1] or not v.any():
+            return every.orderBy("doc")
+        later = every.where(F.col("doc") >= self.covered)
+        return self.lists.where(F.col("list").isin(self.probe(v / np.sqrt((v * v).sum()), k))).select("doc").unionByName(later).distinct().orderBy("doc")
 
     def probe(self, v: np.ndarray, k: int, probes: int = IVF_PROBES) -> list[int]:
         """Lists by inner product, ties to the lower one, until ``probes`` filled ones and k members are met."""
@@ -99,6 +125,8 @@ class IvfVectorScorer(VectorScorer):
             return super().stream(queries, k)
         readers: dict[int, list[tuple[str, np.ndarray]]] = {}
         for q, v in self.queries(queries):
+            if len(v) != self.index.centroids.shape[1]:
+                raise WidthMismatch(f"query {q} has width {len(v)}, the index {self.index.centroids.shape[1]}")
             for i in self.index.probe(v / np.sqrt((v * v).sum()), k, self.probes):
                 readers.setdefault(i, []).append((q, v))
         if not readers:
@@ -114,4 +142,8 @@ class IvfVectorScorer(VectorScorer):
                 if b.num_rows == 0:
                     yield _emit([])
 
-        return top_k(rows.mapInArrow(run, _HITS), k)
+        out = rows.select("doc", "vector", "list").mapInArrow(run, _HITS)
+        later = self.corpus.docs.where((F.col("doc") >= self.index.covered) & (F.size("vector") > 0))
+        if not later.isEmpty():  # what was added since the lists were built is compared as a whole
+            out = out.unionByName(VectorScorer(Corpus(later)).stream(queries, k).select("qid", "doc", "score"))
+        return top_k(out, k)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from fathomrank.functions.columns import has_direction, recency, tokens
 from fathomrank.operators.corpus import Corpus
+from fathomrank.operators.terms import TermIndex
 from fathomrank.operators.topk import top_k
 from fathomrank.schema import K1, MAX_HOPS, SEED_COUNT, STREAM, B, NonFiniteVector, WidthMismatch
 from fathomrank.shared import write_table
@@ -68,22 +69,53 @@ def _places(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarr
     return row[place >= 0], place[place >= 0], length
 
 
+class _Block:
+    """A block of queries in term numbers, with what scores them."""
+
+    def __init__(self, asked: list, terms: list[str], counts: dict[int, int], n: int, total: int):
+        number = {t: i for i, t in enumerate(terms)}
+        df = np.array([min(counts.get(i, 0), n) for i in range(len(terms))], float)
+        self.asked = [(q, np.array([number[t] for t in ts])) for q, ts in asked]
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.avgdl = total / n if n else 0.0
+
+    def best(self, doc: np.ndarray, row: np.ndarray, place: np.ndarray, tf: np.ndarray, length: np.ndarray, k: int) -> pa.RecordBatch:
+        """The k best documents for each query, from postings (row, term number, tf), each once, and the rows' documents and lengths."""
+        order = np.lexsort((row, place))
+        row, place, tf = row[order], place[order], tf[order]
+        size = 1 - B + B * length / self.avgdl if self.avgdl > 0 else np.ones(len(doc))
+        part = self.idf[place] * tf * (K1 + 1.0) / (tf + K1 * size[row])
+        cut = np.searchsorted(place, np.arange(len(self.idf) + 1))
+        found = []
+        for q, ts in self.asked:
+            n = cut[ts + 1] - cut[ts]
+            at = np.repeat(cut[ts] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            score = np.bincount(row[at], weights=part[at], minlength=len(doc))  # adds in the order of the query's terms
+            best, s = _batch_best(score, score > 0, doc, k)
+            found.append((q, doc[best], s))
+        return _emit(found)
+
+
 class TextScorer:
-    """BM25; a term repeated in the query counts each time, and documents without a term are absent."""
+    """BM25; a term repeated in the query counts each time, and documents without a term are absent.
+
+    With ``index`` only the query terms' stored postings are read; without, texts are tokenized on the way.
+    """
 
     name = "text"
+    #: Documents whose postings are scored together.
+    DOCS_A_GROUP = 1 << 14
 
-    def __init__(self, corpus: Corpus):
-        self.corpus = corpus
+    def __init__(self, corpus: Corpus, index: TermIndex | None = None):
+        self.corpus, self.index = corpus, index
 
     def stream(self, queries: DataFrame, k: int) -> DataFrame:
         if k <= 0:
             return _none(queries)
         asked = [(r.qid, list(r.t)) for r in queries.select("qid", tokens(F.col("text")).alias("t")).collect()]  # the stated query set
-        docs = self.corpus.tokenized()
         out = _none(queries).select("qid", "doc", "score")
         for block in _blocks([a for a in asked if a[1]]):
-            out = out.unionByName(self._scored(docs, block, k))
+            out = out.unionByName(self._stored(block, k) if self.index else self._scanned(self.corpus.tokenized(), block, k))
         return top_k(out, k)
 
     @staticmethod
@@ -101,39 +133,34 @@ class TextScorer:
         rows = docs.mapInArrow(run, "term long, n long").where("n > 0").groupBy("term").agg(F.sum("n"))
         return dict(map(tuple, rows.collect()))  # a row a query term
 
-    def _scored(self, docs: DataFrame, block: list, k: int) -> DataFrame:
-        terms = sorted({t for _, ts in block for t in ts})
+    def _scanned(self, docs: DataFrame, asked: list, k: int) -> DataFrame:
+        terms = sorted({t for _, ts in asked for t in ts})
         counts = self._frequencies(docs, terms)
-        n, total = counts.get(-1, 0), counts.get(-2, 0)
-        number = {t: i for i, t in enumerate(terms)}
-        df = np.array([min(counts.get(i, 0), n) for i in range(len(terms))], float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        asked = [(q, [number[t] for t in ts]) for q, ts in block]
-        avgdl = total / n if n else 0.0
+        block = _Block(asked, terms, counts, counts.get(-1, 0), counts.get(-2, 0))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary = pa.array(terms, pa.string())
             for b in batches:
-                doc, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-                m = len(doc)
-                row, place, length = _places(lists, vocabulary)
+                row, place, length = _places(b.column(1), vocabulary)
+                m = max(b.num_rows, 1)
                 key, tf = np.unique(place * m + row, return_counts=True)
-                cut = np.searchsorted(key, np.arange(len(terms) + 1) * m)
-                size = 1 - B + B * length / avgdl if avgdl > 0 else np.ones(m)
-                at = [key[cut[t] : cut[t + 1]] - t * m for t in range(len(terms))]
-                part = [idf[t] * tf[cut[t] : cut[t + 1]] * (K1 + 1.0) / (tf[cut[t] : cut[t + 1]] + K1 * size[at[t]]) for t in range(len(terms))]
-                found = []
-                for q, ts in asked:
-                    score, matched = np.zeros(m), np.zeros(m, bool)
-                    for t in ts:
-                        score[at[t]] += part[t]
-                        matched[at[t]] = True
-                    best, s = _batch_best(score, matched, doc, k)
-                    found.append((q, doc[best], s))
-                yield _emit(found)
+                yield block.best(b.column(0).to_numpy(zero_copy_only=False), key % m, key // m, tf, length, k)
 
         return docs.mapInArrow(run, _HITS)
 
+    def _stored(self, asked: list, k: int) -> DataFrame:
+        terms = sorted({t for _, ts in asked for t in ts})
+        found = self.index.frequencies(terms)
+        block = _Block(asked, terms, {i: found.get(t, 0) for i, t in enumerate(terms)}, self.index.n_docs, self.index.total_length)
+
+        def run(group: pa.Table) -> pa.Table:
+            place = pc.index_in(group.column("term").combine_chunks(), value_set=pa.array(terms, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, first, row = np.unique(group.column("doc").to_numpy(), return_index=True, return_inverse=True)
+            length = group.column("length").to_numpy()[first].astype(float)
+            return pa.Table.from_batches([block.best(doc, row, place, group.column("tf").to_numpy(), length, k)])
+
+        return self.index.of(terms).groupBy(F.floor(F.col("doc") / self.DOCS_A_GROUP)).applyInArrow(run, _HITS)
+
 
 class VectorScorer:
     """Exact cosine; negatives stay, documents without a direction have no opinion.
@@ -233,19 +260,24 @@ class GraphScorer:
     def __init__(self, corpus: Corpus, seed: Scorer | None = None, include_seeds: bool = False):
         self.corpus, self.seed, self.include_seeds = corpus, seed, include_seeds
 
-    def seeds(self, queries: DataFrame) -> DataFrame:
-        """(qid, seed), distinct; named seeds silence the scorer even where none is known."""
+    def seeds(self, queries: DataFrame, best: DataFrame | None = None) -> DataFrame:
+        """(qid, seed), distinct; named seeds silence the scorer even where none is known.
+
+        ``best`` is the seed scorer's stream of all queries, if it is known already.
+        """
         named = queries.where(F.coalesce(F.size("seeds"), F.lit(-1)) > 0)
         own = self.corpus.resolve(named.select("qid", F.explode("seeds").alias("key"))).select("qid", F.col("doc").alias("seed"))
         if self.seed is not None:
             rest = queries.where(F.coalesce(F.size("seeds"), F.lit(-1)) <= 0)
-            found = self.seed.stream(rest, SEED_COUNT).select("qid", F.col("doc").alias("seed"))
+            if best is None:
+                best = self.seed.stream(rest, SEED_COUNT)
+            found = best.where(F.col("rank") <= SEED_COUNT).join(rest.select("qid"), "qid", "left_semi").select("qid", F.col("doc").alias("seed"))
             own = own.unionByName(found.join(self.corpus.keys().select(F.col("doc").alias("seed")), "seed", "left_semi").select("qid", "seed"))
         return own.distinct()
 
     def hops(self, seeds: DataFrame) -> DataFrame:
         """(qid, seed, doc, hop): the least hops to each document, the seed itself at 0."""
-        edges = self.corpus.edges()
+        edges = write_table(self.corpus.edges(), "graph-edges")
         reached = frontier = seeds.select("qid", "seed", F.col("seed").alias("doc"), F.lit(0).alias("hop"))
         for hop in range(1, MAX_HOPS + 1):
             step = frontier.join(edges, frontier["doc"] == edges["src"]).select("qid", "seed", F.col("dst").alias("doc")).distinct()
@@ -260,10 +292,10 @@ class GraphScorer:
         out = tally.groupBy("qid", "doc").agg(F.aggregate(by_hop, F.lit(0.0), lambda s, x: s + x["part"]).alias("score"))
         return out if self.include_seeds else out.join(seeds.select("qid", F.col("seed").alias("doc")), ["qid", "doc"], "left_anti")
 
-    def stream(self, queries: DataFrame, k: int) -> DataFrame:
+    def stream(self, queries: DataFrame, k: int, best: DataFrame | None = None) -> DataFrame:
         if k <= 0:
             return _none(queries)
-        return top_k(self.scores(write_table(self.seeds(queries), "graph-seeds")), k)
+        return top_k(self.scores(write_table(self.seeds(queries, best), "graph-seeds")), k)
 
 
 class TableScorer:

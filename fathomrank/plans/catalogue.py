@@ -9,6 +9,7 @@ Grades are ``labels.quality``, the same for all queries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,16 @@ from pyspark.sql import functions as F
 from fathomrank import loadgen
 from fathomrank.functions.columns import bm25_term, idf, ordered_sum, tokens
 from fathomrank.operators import evaluation as ev
-from fathomrank.operators.corpus import Corpus
+from fathomrank.operators.corpus import Corpus, violations
 from fathomrank.operators.fusion import fuse, fuse_weighted, fused, rrf
 from fathomrank.operators.ivf import InvertedFile, IvfVectorScorer
 from fathomrank.operators.scorers import GraphScorer, RecencyScorer, TableScorer, TextScorer, VectorScorer, no_opinion
-from fathomrank.operators.search import explain, search
+from fathomrank.operators.search import explain, parse_queries, search
 from fathomrank.operators.topk import top_k
 from fathomrank.shared import shared_dir, spread, write_table
 from fathomrank.sources import datasets
-from fathomrank.sources.store import Store, scrub
+from fathomrank.sources.store import Index, Store, scrub
+from fathomrank.streaming.ingest import commit_stream
 
 K = 10
 NOW = "2024-02-01 00:00:00"
@@ -395,7 +397,7 @@ def arm_deltas(spark, d):
     return out
 
 
-ITERATIONS = 1000
+ITERATIONS = 10_000
 
 
 @_register(f"""with {BASE}, {TEXT}, {VECTOR}, {GAINS}, {_fuse_named("b", [("text_all", 1.0), ("vec_all", 1.0)])},
@@ -411,7 +413,7 @@ def bootstrap_ci(spark, d):
     return out.select(*[F.round(c, ROUND).alias(c) for c in ("mean_delta", "lo", "hi")], "iterations", "queries")
 
 
-CONSTANTS, OVERFETCH = (1.0, 10.0, 60.0, 200.0), (1, 2, 5)
+CONSTANTS, OVERFETCH = (1.0, 10.0, 20.0, 40.0, 60.0, 100.0, 200.0), (1, 2, 5, 10)
 
 
 def _sweep_sql() -> str:
@@ -435,6 +437,29 @@ def rrf_sweep(spark, d):
     return grid.select("constant", "overfetch", F.round("base_ndcg", ROUND).alias("base_ndcg"), F.round("arm_ndcg", ROUND).alias("arm_ndcg"), "delta_sign")
 
 
+@_register(f"with g as ({_sweep_sql()}), nz as (select delta_sign, row_number() over (order by constant, overfetch) as i from g where delta_sign <> 0) select count(*)::int as cells, coalesce(sum((delta_sign <> (select delta_sign from nz where i = 1))::int), 0)::int as flips from nz")
+def sweep_sign_flips(spark, d):
+    """How many of the sweep's cells contradict its first sign."""
+    grid = write_table(rrf_sweep(spark, d), "sweep")
+    return grid.where("delta_sign <> 0").agg(F.count("*").cast("int").alias("cells"), F.lit(ev.sign_flips(grid)).alias("flips"))
+
+
+@_register("select item_id::varchar as qid, md5(text) as text_md5 from benchmark where item_id % 2 = 0")
+def judged_queries(spark, d):
+    """Queries without judgments are dropped."""
+    q = benchmark(spark, d)
+    qrels = q.where("cast(qid as int) % 2 = 0").select("qid", F.lit(0).cast("long").alias("doc"), F.lit(1).alias("grade"))
+    return ev.judged(q, qrels).select("qid", F.md5("text").alias("text_md5"))
+
+
+@_register("select item_id::varchar as qid, len(embedding)::int as width from benchmark join embeddings on vec_id = item_id")
+def queries_with_vectors(spark, d):
+    """Each query gets the vector that was made of its text."""
+    q = benchmark(spark, d).where("vector is not null")
+    vectors = q.select("qid", "text", "vector", F.lit("m").alias("model"))
+    return ev.with_vectors(q.select("qid", "text"), vectors).select("qid", F.size("vector").alias("width"))
+
+
 GRAPH_WEIGHTS = (1.0, 0.5, 0.25, 0.1, 0.05, 0.02, 0.01, 0.001)
 
 
@@ -478,6 +503,84 @@ def recall_at_k(spark, d):
     return ev.recall(VectorScorer(c).stream(q, K), IvfVectorScorer(c, index, probes=8).stream(q, K))
 
 
+@_register(f"with {VECTOR}, a as (select qid, doc, rank from vec_all where rank <= {K}), e as (select qid, doc, row_number() over (partition by qid order by score desc, doc) as rank from vec_s where doc % 2 = 0),"
+           f" p as (select a.qid, count(e.doc) as hits, count(*) as want from a left join (select * from e where rank <= {K}) e using (qid, doc) group by a.qid)"
+           f" select round(sum(hits) / sum(want), {ROUND}) as recall, round(min(hits / want), {ROUND}) as worst, min_by(qid, (hits / want, qid)) as worst_qid, count(*) as queries from p")
+def recall_of_half(spark, d):
+    """Recall of the even documents' nearest against everyone's."""
+    c, q = corpus(spark, d, vectors=True).materialized(), benchmark(spark, d)
+    row = ev.recall(VectorScorer(c).stream(q, K), VectorScorer(Corpus(c.docs.where("doc % 2 = 0"))).stream(q, K))
+    return row.select(F.round("recall", ROUND).alias("recall"), F.round("worst", ROUND).alias("worst"), "worst_qid", "queries")
+
+
+@_register("select count(*) as members, least(ceil(sqrt(count(*))), 1024)::int as lists, 0::bigint as misplaced, true as repeatable from documents join embeddings on vec_id = doc_id where list_dot_product(embedding, embedding) > 0")
+def ivf_lists(spark, d):
+    """Every vector is in one list, that of its nearest centroid, the lower of equal ones; training repeats bit by bit."""
+    c = corpus(spark, d, vectors=True).materialized()
+    index, again = InvertedFile.build(c, gate=0), InvertedFile.build(c, gate=0)
+    centre = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(index.centroids)], "list int, centre array<double>")
+    pairs = index.lists.select("doc", "vector", F.col("list").alias("own")).crossJoin(F.broadcast(centre))  # a stated set of centroids, at most 1,024
+    product = F.aggregate(F.zip_with("vector", "centre", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    per = pairs.withColumn("p", product).groupBy("doc").agg(F.max("p").alias("best"), F.max(F.when(F.col("own") == F.col("list"), F.col("p"))).alias("p"))
+    same = bool((index.centroids == again.centroids).all())
+    return per.agg(F.count("*").alias("members"), F.lit(len(index.centroids)).alias("lists"), F.count_if(F.col("best") - F.col("p") > 1e-9).alias("misplaced"), F.lit(same).alias("repeatable"))
+
+
+@_register("select vec_id as doc from documents join embeddings on vec_id = doc_id where len(embedding) > 0")
+def nearest_candidates(spark, d):
+    """Without stored lists every vector is a candidate, committed or pending."""
+    c = corpus(spark, d, vectors=True).materialized()
+    index, n = Index(_stored(c, 1, 0.5)), c.docs.count()
+    index.add(_part(c, n // 2, n), ["n"])
+    return index.nearest([1.0] * 64, K)
+
+
+@_register("select item_id::varchar as qid, 20 as asked, true as enough, true as ascending from benchmark join embeddings on vec_id = item_id where item_id < 3")
+def nearest_probed(spark, d):
+    """With lists, the probed ones hold at least as many candidates as asked for."""
+    c = corpus(spark, d, vectors=True).materialized()
+    store = _stored(c, 1)
+    store.build_lists(gate=0)
+    index, out = Index(store), []
+    for r in benchmark(spark, d).where("cast(qid as int) < 3 and vector is not null").collect():  # three queries
+        found = [x[0] for x in index.nearest(r.vector, 20).collect()]
+        out.append((r.qid, 20, len(found) >= 20, found == sorted(set(found))))
+    return spark.createDataFrame(out, "qid string, asked int, enough boolean, ascending boolean")
+
+
+@_register("select 0::bigint as n_docs, 0::bigint as total_length, 0.0::double as avgdl, 0::bigint as hits")
+def empty_index(spark, d):
+    """An index without documents answers with nothing."""
+    c = Corpus.empty(spark)
+    hits = search(benchmark(spark, d), K, fuse, TextScorer(c), VectorScorer(c), RecencyScorer(c, _now()), GraphScorer(c, TextScorer(c)))
+    return c.stats().select("n_docs", "total_length", "avgdl", F.lit(hits.count()).alias("hits"))
+
+
+@_register("select doc_id as doc, doc_id::varchar as key, md5(text) as text_md5 from documents where doc_id in (0, 7, 123)")
+def point_read(spark, d):
+    c = corpus(spark, d)
+    rows = c.get(0).unionByName(c.get(7)).unionByName(c.get(123)).unionByName(c.get(10**15))
+    return rows.select("doc", "key", F.md5("text").alias("text_md5"))
+
+
+@_register("select vec_id as doc, len(embedding)::int as width, round(embedding[1]::double, 6) as first from documents join embeddings on vec_id = doc_id where doc_id in (0, 7)")
+def vector_read(spark, d):
+    c = corpus(spark, d, vectors=True)
+    rows = c.vector(0).unionByName(c.vector(7)).unionByName(c.vector(10**15))
+    return rows.select("doc", F.size("vector").alias("width"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@_register("""select count(*) filter (doc_id % 10 = 0) as empty_keys, (count(*) filter (doc_id % 10 = 1) > 1)::bigint as repeated_keys,
+ count(*) filter (doc_id % 10 = 2 and vec_id is not null) as bad_vectors, count(distinct case when vec_id is null then null when doc_id % 10 = 3 then 63 else 64 end) as widths
+ from documents left join embeddings on vec_id = doc_id""")
+def ingest_violations(spark, d):
+    """What ingest would refuse of documents with empty and repeated keys, infinite components and another width."""
+    i = F.col("doc") % 10
+    key = F.when(i == 0, "").when(i == 1, "same").otherwise(F.col("key"))
+    vector = F.when(i == 2, F.transform("vector", lambda x: F.lit(float("inf")).cast("float"))).when(i == 3, F.slice("vector", 1, 63)).otherwise(F.col("vector"))
+    return violations(corpus(spark, d, vectors=True).docs.withColumn("key", key).withColumn("vector", vector))
+
+
 @_register()
 def ivf_assignment(spark, d):
     index = InvertedFile.build(corpus(spark, d, vectors=True).materialized(), gate=0)
@@ -511,6 +614,100 @@ def pause_adjusted(spark, d):
     return _table(spark, d, "events").select("event_id", F.round(loadgen.without_pauses(F.col("value"), F.lit(1.5)), 9).alias("net"))
 
 
+@_register("select doc_id::varchar as key, md5('t' || doc_id::varchar || ' ' || text) as text_md5 from documents")
+def read_corpus(spark, d):
+    """Documents written as JSON lines and read as a corpus: title, space, text."""
+    path = _scratch(spark, "corpus.jsonl")
+    _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.concat(F.lit("t"), "doc_id").alias("title"), "text").write.json(path)
+    return datasets.read_corpus(spark, path).select("key", F.md5("text").alias("text_md5"))
+
+
+@_register("select item_id::varchar as qid, md5(text) as text_md5 from benchmark")
+def read_queries(spark, d):
+    path = _scratch(spark, "queries.jsonl")
+    _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("_id"), "text").write.json(path)
+    return datasets.read_queries(spark, path).select("qid", F.md5("text").alias("text_md5"))
+
+
+@_register("select (doc_id % 7)::varchar as qid, doc_id::varchar as key, max(quality)::int as grade from labels where quality is not null group by doc_id")
+def read_qrels(spark, d):
+    path = _scratch(spark, "qrels.tsv")
+    rows = _table(spark, d, "labels").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("score"))
+    rows.select("score", F.col("doc_id").alias("corpus-id"), (F.col("doc_id") % 7).alias("query-id")).write.csv(path, sep="\t", header=True)
+    return datasets.read_qrels(spark, path)
+
+
+@_register("select item_id::varchar as qid, md5(text) as text_md5, len(embedding)::int as width, round(embedding[64]::double, 6) as last, 'm' || (item_id % 2)::varchar as model from benchmark join embeddings on vec_id = item_id")
+def read_query_vectors(spark, d):
+    rows = datasets.read_query_vectors(spark, _query_vectors(spark, d))
+    return rows.select("qid", F.md5("text").alias("text_md5"), F.size("vector").alias("width"), F.round(F.col("vector")[63].cast("double"), 6).alias("last"), "model")
+
+
+def _query_vectors(spark, d) -> str:
+    path, q = _scratch(spark, "vectors.jsonl"), benchmark(spark, d).where("vector is not null")
+    q.select(F.col("qid").alias("id"), "text", F.col("vector").alias("vec"), F.concat(F.lit("m"), F.col("qid").cast("int") % 2).alias("model")).write.json(path)
+    return path
+
+
+@_register("select 'm' || (item_id % 2)::varchar as value, count(*) as n from benchmark join embeddings on vec_id = item_id group by 1")
+def model_tally(spark, d):
+    return datasets.tally(datasets.read_query_vectors(spark, _query_vectors(spark, d)), "model")
+
+
+def _metadata(spark, d) -> tuple[DataFrame, DataFrame]:
+    path, i = _scratch(spark, "metadata.csv"), F.col("doc_id")
+    rows = _table(spark, d, "documents").select(i.alias("cord_uid"), F.when(i % 3 == 0, i).alias("s2_id"), F.when(i % 2 == 0, F.concat(F.lit(" 10.1/x"), i, F.lit("; 10.2/y"))).alias("doi"), F.lit(None).cast("string").alias("pmcid"), F.when(i % 5 == 0, i).alias("pubmed_id"))
+    rows.write.csv(path, header=True)
+    return datasets.read_metadata_ids(spark, path, _table(spark, d, "documents").where("doc_id % 7 < 5").select(F.col("doc_id").cast("string").alias("key")))
+
+
+META = "m as (select doc_id::varchar as key, case when doc_id % 3 = 0 then 's2_id' when doc_id % 2 = 0 then 'doi' when doc_id % 5 = 0 then 'pubmed_id' end as source, case when doc_id % 3 = 0 then 'CorpusId:' || doc_id when doc_id % 2 = 0 then 'DOI:10.1/x' || doc_id when doc_id % 5 = 0 then 'PMID:' || doc_id end as ref from documents where doc_id % 7 < 5)"
+
+
+@_register(f"with {META} select key, ref from m where ref is not null")
+def read_metadata_ids(spark, d):
+    return _metadata(spark, d)[0]
+
+
+@_register(f"with {META} select source, count(*) as n from m where source is not null group by source")
+def metadata_tally(spark, d):
+    return _metadata(spark, d)[1]
+
+
+def _records(spark, d) -> DataFrame:
+    """Cached records of every third document, read back from JSON lines."""
+    path, c = _scratch(spark, "records.jsonl"), corpus(spark, d, vectors=True, links=True)
+    c.docs.where("doc % 3 = 0").select("key", F.col("key").alias("corpus_id"), F.col("links").alias("refs"), F.col("vector").alias("vec"), F.lit("m").alias("model")).write.json(path)
+    return datasets.read_cached_records(spark, path)
+
+
+@_register("select doc_id::varchar as key, 3 as n_refs, coalesce(len(embedding), -1)::int as width from documents left join embeddings on vec_id = doc_id where doc_id % 3 = 0")
+def read_cached_records(spark, d):
+    return _records(spark, d).select("key", F.size("refs").alias("n_refs"), F.when(F.col("vec").isNull(), -1).otherwise(F.size("vec")).alias("width"))
+
+
+@_register("select doc_id::varchar as key from documents where doc_id % 3 <> 0")
+def resume_set(spark, d):
+    """The keys that a resumed join still has to fetch."""
+    return datasets.remaining(corpus(spark, d).docs, _records(spark, d))
+
+
+@_register("select item_id::varchar as qid, md5(trim(split_part(text, '@', 1))) as text_md5, item_id::double as v1, 2 as n from benchmark where position('@' in text) = 0")
+def query_lines(spark, d):
+    """Lines of text and vector, split at the first @."""
+    lines = _table(spark, d, "benchmark").where("instr(text, '@') = 0").select(F.col("item_id").cast("string").alias("qid"), F.concat("text", F.lit(" @ "), "item_id", F.lit(", 0.5")).alias("line"))
+    return parse_queries(lines).select("qid", F.md5("text").alias("text_md5"), F.col("vector")[0].cast("double").alias("v1"), F.size("vector").alias("n"))
+
+
+@_register("""with r as (select hour(ts)::int + 1 as rate, quantile_disc(value, 0.5) as p50 from events where value is not null group by 1), u as (select min(p50) * 0.45 as unloaded from r)
+select count(*) as rungs, coalesce(min(rate) filter (p50 > 2 * unloaded), 0)::int as saturated from r, u""")
+def load_saturation(spark, d):
+    """The first of the hours' rates whose median is over twice an unloaded one."""
+    rows = _table(spark, d, "events").where("value is not null").groupBy((F.hour("ts") + 1).alias("rate")).agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"))
+    rungs = sorted((r.rate, r.p50) for r in rows.collect())  # at most 24
+    return spark.createDataFrame([(len(rungs), int(loadgen.saturation(rungs, min(p for _, p in rungs) * 0.45) or 0))], "rungs long, saturated int")
+
+
 @_register("select l_partkey as corpus_id, min(l_orderkey::varchar || '-' || l_linenumber::varchar) as key from lineitem group by 1")
 def corpus_id_min_key(spark, d):
     rows = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("corpus_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"))
@@ -533,7 +730,83 @@ def corpus_from_records(spark, d):
     return rows.select("key", F.col("vector").isNotNull().alias("has_vector"), F.when(F.col("links").isNull(), 0).otherwise(F.size("links")).alias("n_links"))
 
 
-@_register("select count(*) as documents, 0::bigint as repeated_keys, 0::bigint as missing_ids, 0::bigint as extra_widths, 0::bigint as lost_postings from documents")
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _stored(c: Corpus, generations: int, of: float = 1.0) -> Store:
+    """A new store with the first part ``of`` a corpus, committed in some generations."""
+    spark = c.docs.sparkSession
+    store, n = Store(spark, _scratch(spark, "store")), c.docs.count() * of
+    for i in range(generations):
+        store.commit(_part(c, int(n * i / generations), int(n * (i + 1) / generations)), ["n"])
+    return store
+
+
+def _part(c: Corpus, a: int, b: int) -> DataFrame:
+    return c.docs.where((F.col("doc") >= a) & (F.col("doc") < b)).withColumn("n", F.col("doc")).select("key", "text", "vector", "links", "time", "n")
+
+
+SOUND = "select count(*) as documents, 0::bigint as repeated_keys, 0::bigint as missing_ids, 0::bigint as extra_widths, 0::bigint as miscounted, 0::bigint as lost_postings, 0::bigint as mislisted from documents"
+
+
+@_register(SOUND)
+def store_scrub(spark, d):
+    """The stored corpus, its postings and its lists, built between two commits, agree."""
+    c = corpus(spark, d, vectors=True, links=True).materialized()
+    store, n = _stored(c, 2, 0.5), c.docs.count()
+    store.build_lists(gate=0)
+    store.commit(_part(c, n // 2, n), ["n"])
+    return store.scrub()
+
+
+@_register(f"with {BASE}, {TEXT} {_top_sql('text_all')}")
+def bm25_stored(spark, d):
+    """BM25 from the postings of a store of three generations."""
+    store = _stored(corpus(spark, d).materialized(), 3)
+    return _shown(TextScorer(store.open(), store.terms()).stream(benchmark(spark, d), K))
+
+
+@_register(f"with {BASE}, t as (select distinct unnest(terms) as term from q where item_id < 5) select term, doc, tf::int as tf, dl::int as length from tf join t using (term) join dl using (doc)")
+def stored_postings(spark, d):
+    """The stored postings of a few queries' terms; only their partitions are read."""
+    asked = [r[0] for r in benchmark(spark, d).where("cast(qid as int) < 5").select(F.explode(tokens(F.col("text"))).alias("t")).distinct().collect()]
+    return _stored(corpus(spark, d).materialized(), 2).terms().of(asked)
+
+
+@_register(f"with {VECTOR} {_top_sql('vec_all')}")
+def stored_lists_all_probed(spark, d):
+    """Stored lists of half the corpus, all probed, and the later half: exact."""
+    c = corpus(spark, d, vectors=True).materialized()
+    store, n = _stored(c, 1, 0.5), c.docs.count()
+    store.build_lists(gate=0)
+    store.commit(_part(c, n // 2, n), ["n"])
+    return _shown(IvfVectorScorer(store.open(), store.lists(), probes=10**6).stream(benchmark(spark, d), K))
+
+
+@_register(f"with {BASE}, {TEXT} {_top_sql('text_all')}")
+def pending_visible(spark, d):
+    """Documents that aren't committed yet are searched with the committed ones."""
+    c = corpus(spark, d).materialized()
+    index, n = Index(_stored(c, 1, 0.5)), c.docs.count()
+    index.add(_part(c, n // 2, n), ["n"])
+    return _shown(TextScorer(index.corpus()).stream(benchmark(spark, d), K))
+
+
+@_register("select count(*) as documents, count(distinct doc_id) as keys, max(doc_id) as last_doc from documents")
+def stream_commit(spark, d):
+    """A stream of three micro-batches, committed as generations: every document once, numbered without gaps."""
+    c = corpus(spark, d, vectors=True).materialized()
+    path, n = _scratch(spark, "stream"), c.docs.count()
+    for i in range(3):
+        _part(c, n * i // 3, n * (i + 1) // 3).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    store = Store(spark, f"{path}/store")
+    schema = spark.read.parquet(f"{path}/in").schema
+    commit_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), store, ["n"], f"{path}/checkpoint").awaitTermination()
+    return store.open().docs.agg(F.count("*").alias("documents"), F.count_distinct("key").alias("keys"), F.max("doc").alias("last_doc"))
+
+
+@_register(SOUND)
 def scrub_report(spark, d):
     return scrub(corpus(spark, d, vectors=True, links=True).materialized())
 
@@ -541,14 +814,8 @@ def scrub_report(spark, d):
 @_register("select count(*) as documents, count(*) as same, max(doc_id) as last_doc from documents")
 def commit_merge_roundtrip(spark, d):
     """Documents committed in nine generations, merged and opened: every row as it was, numbers kept."""
-    import uuid
-
     c = corpus(spark, d, vectors=True, times=True, links=True).materialized()
-    n = c.docs.count()
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:8]}")
-    for i in range(9):
-        part = c.docs.where((F.col("doc") >= n * i // 9) & (F.col("doc") < n * (i + 1) // 9))
-        store.commit(part.withColumn("n", F.col("doc")).select("key", "text", "vector", "links", "time", "n"), ["n"])
+    store = _stored(c, 9)
     store.merge()
     got = store.open().docs.select("doc", F.xxhash64("key", "text", "vector", "links", "time").alias("h"))
     want = c.docs.select("doc", F.xxhash64("key", "text", "vector", "links", "time").alias("h"))

@@ -117,3 +117,19 @@ class DuplicateDocument(RankingError):
 
 class NoJoinColumn(RankingError):
     pass
+
+
+class UnknownQuery(RankingError):
+    pass
+
+
+class UnmatchedVectors(RankingError):
+    pass
+
+
+class StaleWriter(RankingError):
+    pass
+
+
+class Unpinned(RankingError):
+    pass

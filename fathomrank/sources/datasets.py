@@ -123,3 +123,8 @@ def join_records(corpus: DataFrame, records: DataFrame, width: int) -> DataFrame
     links = cited.groupBy("key").agg(F.array_sort(F.collect_set("dst")).alias("links"))
     vectors = records.select("key", F.when(F.size("vec") == width, F.col("vec")).alias("vector"))
     return corpus.join(vectors, "key", "left").join(links, "key", "left")
+
+
+def tally(records: DataFrame, column: str) -> DataFrame:
+    """(value, n): how many records each value of a column has, as of the model that made a vector."""
+    return records.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

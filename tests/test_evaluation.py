@@ -9,9 +9,16 @@ from fathomrank import loadgen
 from fathomrank.operators import evaluation as ev
 from fathomrank.operators.fusion import fuse
 from fathomrank.operators.scorers import TextScorer
-from fathomrank.schema import BadRecord, BadVersion, CorruptStore, DuplicateDocument, DuplicateKey, EmptyDataset, NoIterations, NoJoinColumn, NoScorers, OverfetchRange, Unpaired, WidthMismatch
+from fathomrank.operators import corpus as corpora
+from fathomrank.operators.ivf import IvfVectorScorer
+from fathomrank.operators.search import Streams, streams_of
+from fathomrank.operators.scorers import GraphScorer
+from fathomrank.schema import (
+    BadQueryId, BadRecord, BadVersion, CorruptStore, DuplicateDocument, DuplicateKey, DuplicateQuery, DuplicateRanked, EmptyDataset, ForeignDocument, MissingId, NoIterations, NoJoinColumn, NoQueries, NoScorers, OverfetchRange,
+    StaleWriter, TooManyDocuments, UnknownQuery, UnmatchedVectors, Unpaired, Unpinned, WidthMismatch,
+)
 from fathomrank.sources import datasets
-from fathomrank.sources.store import Store, scrub
+from fathomrank.sources.store import Index, Store, check_pins, pins, scrub
 from fathomrank.streaming.ingest import commit_stream
 from tests.test_ranking import DOC, asked, make
 
@@ -174,3 +181,150 @@ def test_stream_of_documents(spark, tmp_path):
     commit_stream(stream, store, ["n"], str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.key for r in store.open().docs.collect()) == ["a", "b", "c", "d"]
     assert store.open().docs.agg(F.max("doc")).first()[0] == 3
+
+
+def test_judgments_meet_queries_and_documents(spark):
+    c = make(spark, [("a", "x y"), ("b", "y z")])
+    q = asked(spark, ("y",), ("z",), ("w",))
+    arm = ev.Arm("text", (TextScorer(c),), fuse)
+    rels = lambda *rows: spark.createDataFrame(list(rows), "qid string, doc long, grade int")
+    assert sorted(r.qid for r in ev.judged(q, rels(("0", 0, 1), ("1", 1, 0), ("1", 0, 1))).collect()) == ["0", "1"]
+    with pytest.raises(UnknownQuery):
+        ev.judged(q, rels(("0", 0, 1), ("7", 0, 1)))
+    with pytest.raises(ForeignDocument):
+        ev.evaluate([arm], q, rels(("0", 99, 1)), 2, c)
+    assert ev.evaluate([arm], q, rels(("0", 0, 1)), 2, c).count() == 3
+    for bad, error in ((q.limit(0), NoQueries), (q.withColumn("qid", F.lit("")), BadQueryId), (q.withColumn("qid", F.lit("same")), DuplicateQuery)):
+        with pytest.raises(error):
+            ev.evaluate([arm], bad, rels(("0", 0, 1)), 2, c)
+
+    class Twice:
+        name = "twice"
+
+        def stream(self, queries, k):
+            return queries.select("qid", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("doc"), F.lit(1.0).alias("score"))
+
+    with pytest.raises(DuplicateRanked):
+        ev.evaluate([ev.Arm("twice", (Twice(),), lambda streams, k: streams[0].unionByName(streams[0]))], q, rels(("0", 0, 1)), 2, c)
+
+
+def test_query_vectors_are_all_or_none(spark):
+    q = spark.createDataFrame([("a", "x"), ("b", "y")], "qid string, text string")
+    v = lambda *rows: spark.createDataFrame([(i, t, [1.0], m) for i, t, m in rows], "qid string, text string, vector array<float>, model string")
+    assert [r.vector for r in ev.with_vectors(q, v(("a", "x", "m"), ("b", "y", "m"), ("c", "z", "m"))).collect()] == [[1.0], [1.0]]
+    for bad in (v(("a", "x", "m")), v(("a", "x", "m"), ("b", "other", "m")), v(("a", "x", "m"), ("b", "y", "n"))):
+        with pytest.raises(UnmatchedVectors):
+            ev.with_vectors(q, bad)
+
+
+def test_a_scorer_runs_once_for_all_who_read_it(spark):
+    c = make(spark, [(f"k{i}", f"w{i % 3} same", None, [f"k{(i + 1) % 9}"]) for i in range(9)])
+    calls = []
+
+    class Counted(TextScorer):
+        def stream(self, queries, k):
+            calls.append(k)
+            return super().stream(queries, k)
+
+    text, q = Counted(c), asked(spark, ("w1 same",), (None, None, ["k4"]))
+    graph = GraphScorer(c, text)
+    got = [s.collect() for s in streams_of(q, 8, (graph, text))]
+    assert calls == [8]
+    assert sorted(got[0]) == sorted(GraphScorer(c, TextScorer(c)).stream(q, 8).collect()) and sorted(got[1]) == sorted(TextScorer(c).stream(q, 8).collect())
+    assert sorted(Streams(q).of(text, 3).collect()) == sorted(r for r in got[1] if r.rank <= 3)
+
+
+def test_stored_postings_and_lists(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"k{i}", " ".join(r.choice("abcdefgh") for _ in range(r.randrange(9))) or None, [float(j == i % 8) + 0.1 * r.random() for j in range(8)], None, None, i) for i in range(120)]
+    docs = spark.createDataFrame(rows, DOC)
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.lists() is None
+    store.commit(docs.where("n < 50"), ["n"])
+    assert store.build_lists() is None and store.build_lists(gate=1) is not None
+    store.commit(docs.where("n >= 50"), ["n"])
+    corpus, q = store.open(), asked(spark, ("a b a", rows[3][2]), ("h zz", rows[77][2]), (None, None))
+    assert sorted(TextScorer(corpus, store.terms()).stream(q, 20).collect()) == sorted(TextScorer(corpus).stream(q, 20).collect())
+    plan = store.terms().of(["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "term" in plan.split("PushedFilters")[1]
+    near = IvfVectorScorer(corpus, store.lists(), probes=3)
+    assert {r.doc for r in near.stream(asked(spark, (None, rows[77][2])), 1).collect()} == {77}  # committed after the lists
+    with pytest.raises(WidthMismatch):
+        near.stream(asked(spark, (None, [1.0])), 1)
+    assert not any(v for k, v in store.scrub().first().asDict().items() if k != "documents")
+    broken = store.terms()
+    broken.postings = broken.postings.where("term <> 'a'")
+    assert scrub(corpus, broken.postings).first().lost_postings > 0
+    lists = store.lists()
+    lists.lists = lists.lists.where("doc <> 3").unionByName(lists.lists.where("doc = 4"))
+    assert scrub(corpus, None, lists).first().mislisted == 2 and scrub(corpus, named=7).first().miscounted == 113
+
+
+def test_pending_documents_are_searched_before_the_commit(spark, tmp_path):
+    index = Index(Store(spark, str(tmp_path / "store")))
+    assert index.corpus().docs.count() == 0 and index.nearest([1.0, 0.0], 3).count() == 0
+    index.add(documents(spark, ["a", "b"], [1.0, 0.0]), ["n"])
+    index.add(documents(spark, ["c"], [0.0, 1.0]), ["n"])
+    with pytest.raises(DuplicateKey):
+        index.add(documents(spark, ["b"], [0.0, 1.0]), ["n"])
+    before = TextScorer(index.corpus()).stream(asked(spark, ("shared c",)), 9).collect()
+    assert before[0].doc == 2 and [r.doc for r in index.nearest([1.0, 0.0], 1).collect()] == [0, 1, 2] and index.nearest([1.0], 0).count() == 0
+    assert index.store.open().docs.count() == 0
+    assert index.commit() == 1 and index.commit() == 1
+    assert TextScorer(index.corpus()).stream(asked(spark, ("shared c",)), 9).collect() == before
+    index.close()
+    assert index.corpus().docs.count() == 3
+
+
+def test_readers_and_writers_do_not_meet(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for g in range(9):
+        store.commit(documents(spark, [f"k{g}"]), ["n"])
+    reader, other = store.open(), Store(spark, str(tmp_path / "store"))
+    assert store.merge() and reader.docs.count() == 9
+    stale = other.manifest()
+    store.commit(documents(spark, ["new"]), ["n"])
+    with pytest.raises(StaleWriter):
+        other._publish({**stale, "generation": stale["generation"] + 1})
+    assert store.open().docs.count() == 10
+    assert store.merge() and store.open().docs.count() == 10  # the merge after removes what the first replaced
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        reader.docs.count()
+    swapped = json.dumps({**store.manifest(), "store": "another"})
+    (tmp_path / "store" / "MANIFEST.json").write_text(swapped)
+    with pytest.raises(CorruptStore, match="unreadable"):  # its checksum is that of another text
+        store.open()
+    (tmp_path / "store" / ".MANIFEST.json.crc").unlink()
+    with pytest.raises(CorruptStore, match="another store"):
+        store.open()
+
+
+def test_pins(spark, tmp_path):
+    path = tmp_path / "input.txt"
+    path.write_text("one")
+    kept = spark.createDataFrame(pins(spark, str(path)).collect(), "path string, bytes long, sha256 string")
+    check_pins(spark, kept)
+    path.write_text("two")
+    with pytest.raises(Unpinned):
+        check_pins(spark, kept)
+
+
+def test_limits_and_missing_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpora, "MOST_DOCUMENTS", 2)
+    with pytest.raises(TooManyDocuments):
+        make(spark, [("a", ""), ("b", ""), ("c", "")])
+    with pytest.raises(MissingId):
+        datasets.read_queries(spark, write(tmp_path / "m.jsonl", [{"text": "no id"}]))
+    row = corpora.violations(spark.createDataFrame([("", None), ("a", [1.0]), ("a", [float("nan")]), (None, [1.0, 2.0])], "key string, vector array<float>")).first()
+    assert tuple(row) == (2, 1, 1, 2)
+
+
+def test_ladder_and_load_under_a_write():
+    import time
+
+    rungs = loadgen.ladder(lambda i: time.sleep(0.01), (400.0, 50.0, 10_000.0), 40, 1)
+    assert [r for r, _, _ in rungs] == [50.0, 400.0] and rungs[1][2] > 20 and rungs[0][1] >= 0.01
+    during, outside = loadgen.under_write(lambda i: None, lambda: time.sleep(0.1), 200, 60, 8)
+    assert during and outside and len(during) + len(outside) == 60
