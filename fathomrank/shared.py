@@ -13,11 +13,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 _own: dict[str, str] = {}
 #: Bits of the largest filter of ``sieve`` (16 MB); one of Spark's bitmap groups has 32,768.
@@ -65,7 +63,7 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
@@ -120,6 +118,8 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size: str, tota
     1,000 hot keys by arithmetic: they are broadcast. The others meet in a shuffled join.
     """
     hot_from = max(1000, total // 1000)
+    if classes.where(F.col(size) > hot_from).isEmpty():  # no need to read the rows twice
+        return rows.join(classes, key)
     hot = F.broadcast(classes.where(F.col(size) > hot_from))
     cold = classes.where(F.col(size) <= hot_from)
     rest = rows.join(hot.select(key), key, "left_anti")
@@ -159,9 +159,9 @@ def sieve(keys: DataFrame, column: str):
             out &= (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
-    @F.pandas_udf(BooleanType())
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(passes(h.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(passes(h.to_numpy(zero_copy_only=False)))
 
     maybe.passes = passes
     return maybe
