@@ -29,7 +29,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -430,8 +429,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THR
     return _occurrences(rows, texts, lines.unionByName(runs).unionByName(copies))
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts without their spans (start, length, whole); a whole line goes with its line break."""
 
     def one(t: str, cuts) -> str:
@@ -452,7 +451,7 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
         kept = "".join(out) + t[at:]
         return kept[:-1] if kept.endswith("\n") and not t.endswith("\n") else kept
 
-    return pd.Series([one(t, c) for t, c in zip(text, spans)], dtype=object)
+    return pa.array([one(t, c) for t, c in zip(text.to_pylist(), spans.to_pylist())], pa.string())
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -471,7 +470,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
     some = packed.where(maybe(F.col("thash")))
     hit = join_by_class(some, changed, "thash", "n", some.count())
     first = hit.where("copied and doc_id <=> keeper_doc_id").withColumn("i", F.row_number().over(Window.partitionBy("thash").orderBy("doc_id"))).where("i = 1").drop("i")
-    hit = hit.where("copied is null").unionByName(first)
+    hit = write_table(hit.where("copied is null").unionByName(first), "substring-hit")  # one Python step a task
     cut = hit.withColumn("text", _without("text", "cuts")).where(F.col("cuts").isNull() | F.col("text").rlike(r"\S"))
     same = packed.where(~maybe(F.col("thash"))).unionByName(some.join(changed, "thash", "left_anti").select(*packed.columns))
     out = same.select("row", "text").unionByName(cut.select("row", "text"))
