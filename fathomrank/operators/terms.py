@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fathomrank.operators.corpus import Corpus
 
-BUCKETS = 64
+BUCKETS = 16
 POSTINGS = "term string, doc long, tf int, length int, bucket int"
 
 
