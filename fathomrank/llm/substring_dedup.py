@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fathomrank.llm.kernels import LETTER, LOWER, Prefix, Words, chunks, grams, mix, powers
-from fathomrank.shared import connected_components, join_by_class, release, sieve, write_table
+from fathomrank.shared import connected_components, deal, gathered, join_by_class, parts_of, release, sieve, write_table
 
 MIN_WORDS, THRESHOLD, RECALL, SHINGLE = 30, 0.7, 0.97, 3
 #: The fewest words of a run that counts; words of a seed.
 MIN_RUN, SEED = 20, 10
 PAIRS = 256  # pairs whose shingle sets are held at once
+LETTERS = 20  # code points of a text for each seed, about; only the number of parts depends on it
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
@@ -183,29 +184,54 @@ def whole_texts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": doc, "paragraph": np.full(len(doc), -1), "start": p["start"][a], "length": p["end"][z] - p["start"][a], "n_words": z - a + 1, "cid": cid}
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """The seeds of all windows of the distinct texts."""
+def _groups(key: np.ndarray) -> np.ndarray:
+    """Where groups of equal values begin in a sorted key."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def seeds(docs: DataFrame, parts: int) -> DataFrame:
+    """For each distinct text (thash) the words at which a seed begins that another text has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for b, _ in map(_once, batches):
+            of = b.column(1).to_numpy(zero_copy_only=False)
             for i, j, buf, offs in chunks(b.column(2)):
                 p = places(buf, offs)
                 _, seed, g = windows_of(p)
                 seed = np.unique(seed)
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).take(pa.array(p["doc"][seed])), pa.array(p["word"][seed].astype(np.int32)), pa.array(g[seed].view(np.int64))], names=["thash", "word", "seed"])
+                yield [g[seed], of[i:j][p["doc"][seed]], p["word"][seed].astype(np.int32)]
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        seed, text, word = gathered(batches, np.uint64, np.int64, np.int32)
+        if len(seed):
+            order = np.argsort(seed)
+            seed, text, word = seed[order], text[order], word[order]
+            at = _groups(seed)
+            keep = np.repeat(np.minimum.reduceat(text, at) < np.maximum.reduceat(text, at), np.diff(np.append(at, len(seed))))
+            yield [text[keep], word[keep]]
 
-    return _source(docs).mapInArrow(run, "thash long, word int, seed long")
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, word = gathered(batches, np.int64, np.int32)
+        order = np.lexsort((word, text))
+        text, word = text[order], word[order]
+        new = np.append(True, (text[1:] != text[:-1]) | (word[1:] != word[:-1]))[: len(text)]  # equal texts of several tasks
+        text, word = text[new], word[new]
+        at = _groups(text)
+        yield pa.RecordBatch.from_arrays([pa.array(text[at]), _lists(word, np.diff(np.append(at, len(text))))], names=["thash", "seeds"])
 
+    return deal(deal(_source(docs), run, parts, 3), shared, parts, 2).mapInArrow(listed, "thash long, seeds array<int>")
 
-def windows(texts: DataFrame) -> DataFrame:
-    """The windows at the marked seeds of texts (doc_id, thash, text, seeds, gone) that have a word outside the lines in gone.
 
-    Columns: doc_id, thash, word, paragraph, start, length, hash, whole (no word lies in those lines).
+def windows(texts: DataFrame, parts: int) -> DataFrame:
+    """Blocks of the windows at the marked seeds of texts (doc_id, thash, text, seeds, gone) that have a word outside the lines in gone.
+
+    Columns: hash, doc_id, its absence, thash, word, paragraph, start, length, whole (no word lies in those lines).
     """
-    names = ["doc_id", "thash", "word", "paragraph", "start", "length", "hash", "whole"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for b in batches:
+            ids, null = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), b.column(0).is_null().to_numpy(zero_copy_only=False)
+            text = b.column(1).to_numpy(zero_copy_only=False)
             for i, j, buf, offs in chunks(b.column(2)):
                 p = places(buf, offs)
                 at, seed, _ = windows_of(p)
@@ -219,12 +245,48 @@ def windows(texts: DataFrame) -> DataFrame:
                 lost = np.concatenate([[0], np.cumsum(out)])
                 at = at[hit[seed] & (lost[at + MIN_RUN] - lost[at] < MIN_RUN)]
                 along, inv = _along(p["h"])
-                h = mix((along[at + MIN_RUN] - along[at]) * inv[at]).view(np.int64)
-                doc = pa.array(p["doc"][at])
-                ints = [pa.array(x.astype(np.int32)) for x in (p["word"][at], p["paragraph"][at], p["start"][at], p["end"][at + MIN_RUN - 1] - p["start"][at])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(doc), b.column(1).slice(i, j - i).take(doc), *ints, pa.array(h), pa.array(lost[at + MIN_RUN] == lost[at])], names=names)
+                h = mix((along[at + MIN_RUN] - along[at]) * inv[at])
+                doc = p["doc"][at] + i
+                ints = [x.astype(np.int32) for x in (p["word"][at], p["paragraph"][at], p["start"][at], p["end"][at + MIN_RUN - 1] - p["start"][at])]
+                yield [h, ids[doc], null[doc], text[doc], *ints, lost[at + MIN_RUN] == lost[at]]
 
-    return texts.select("doc_id", "thash", "text", "seeds", "gone").mapInArrow(run, "doc_id long, thash long, word int, paragraph int, start int, length int, hash long, whole boolean")
+    return deal(texts.select("doc_id", "thash", "text", "seeds", "gone"), run, parts, 9)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Of the windows that several texts have, the first whole one, which stays, and those at later places."""
+    h, doc, null, text, word, paragraph, start, length, whole = gathered(batches, np.uint64, np.int64, bool, np.int64, np.int32, np.int32, np.int32, np.int32, bool)
+    if not len(h):
+        return
+    order = np.argsort(h)
+    at = _groups(h[order])
+    several = np.minimum.reduceat(text[order], at) < np.maximum.reduceat(text[order], at)
+    order = order[np.repeat(several, np.diff(np.append(at, len(h))))]
+    if not len(order):
+        return
+    order = order[np.lexsort((word[order], text[order], doc[order], null[order], h[order]))]  # groups in order of places
+    at = _groups(h[order])
+    place = np.arange(len(order))
+    first = np.minimum.reduceat(np.where(whole[order], place, len(order)), at)
+    first = np.repeat(first, np.diff(np.append(at, len(order))))
+    keep = place >= first
+    order, stays, first = order[keep], (place == first)[keep], order[first[keep]]
+    yield [text[order], word[order], paragraph[order], start[order], length[order], h[order], stays, doc[first], null[first]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of ``_repeats`` as the runs of words that they cover, in the columns ``SPAN``."""
+    columns = gathered(batches, np.int64, np.int32, np.int32, np.int32, np.int32, np.uint64, bool, np.int64, bool)
+    order = np.lexsort((columns[1], columns[6], columns[0]))
+    text, word, paragraph, start, length, h, stays, doc, null = (c[order] for c in columns)
+    if len(text):
+        at = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (stays[1:] != stays[:-1]) | (word[1:] - word[:-1] > 1)))
+        last = np.append(at[1:], len(text)) - 1
+        begin, end = np.minimum.reduceat(start, at), np.maximum.reduceat(start + length, at)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(text[at]), pa.array(paragraph[at]), pa.array(begin), pa.array(end - begin), pa.array((word[last] - word[at] + MIN_RUN).astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(stays[at]), pa.array(doc[at], mask=null[at]), pa.array(np.zeros(len(at), bool))],
+            names=list(SPAN),
+        )
 
 
 SPAN = ("thash", "paragraph", "start", "length", "n_words", "cluster_id", "stays", "keeper_doc_id", "whole")
@@ -245,28 +307,14 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     A window stays where it stands first outside the lines in ``gone`` (thash, paragraph) and goes at every
     later place. So what a removed word repeats stands earlier, and the first such place is never removed.
     """
-    every = write_table(seeds(docs), "substring-seeds")
-    shared = every.groupBy("seed").agg(F.count("*").alias("n"), F.min("thash").alias("lo"), F.max("thash").alias("hi")).where("lo < hi")
-    shared = write_table(shared.select("seed", "n"), "substring-shared-seeds")
-    hits = join_by_class(every.where(sieve(shared, "seed")(F.col("seed"))), shared, "seed", "n", every.count())
-    hits = write_table(hits.groupBy("thash").agg(F.collect_set("word").alias("seeds")), "substring-hits")  # of one text
-    release(every, shared)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = parts_of(docs.sparkSession, chars // LETTERS)
+    hits = write_table(seeds(docs, parts), "substring-hits")
     marked = gone.groupBy("thash").agg(F.collect_list("paragraph").alias("gone"))
     texts = _source(docs).where(sieve(hits, "thash")(F.col("thash"))).groupBy("thash").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
-    found = write_table(windows(texts.join(hits, "thash").join(marked, "thash", "left")), "substring-windows")
+    found = windows(texts.join(hits, "thash").join(marked, "thash", "left"), parts)
+    runs = write_table(deal(found, _repeats, parts, 9).mapInArrow(_runs, "thash long, paragraph int, start int, length int, n_words int, cluster_id long, stays boolean, keeper_doc_id long, whole boolean"), "substring-runs")
     release(hits)
-    ends = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("thash").alias("lo"), F.max("thash").alias("hi"), F.min(F.when(F.col("whole"), _place("word"))).alias("first"))
-    ends = write_table(ends.where("lo < hi and first is not null").select("hash", "n", "first"), "substring-ends")
-    rows = join_by_class(found.where(sieve(ends, "hash")(F.col("hash"))), ends, "hash", "n", found.count()).withColumn("place", _place("word")).where("place >= first")
-    rows = rows.withColumn("stays", F.expr("place = first")).withColumn("keeper", _id("first"))
-    order = Window.partitionBy("thash", "stays").orderBy("word")
-    rows = rows.withColumn("_new", F.when(F.col("word") - F.lag("word").over(order) <= 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    rows = rows.groupBy("thash", "stays", "_run").agg(
-        F.min_by("paragraph", "word").alias("paragraph"), F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"),
-        (F.max("word") - F.min("word") + MIN_RUN).cast("int").alias("n_words"), F.min_by("hash", "word").alias("cluster_id"), F.min_by("keeper", "word").alias("keeper_doc_id"),
-    )
-    runs = write_table(rows.withColumn("whole", F.lit(False)).select(*SPAN), "substring-runs")
-    release(found, ends)
     return runs
 
 
@@ -340,18 +388,40 @@ def _rest(index: DataFrame, roots: DataFrame, met: DataFrame) -> DataFrame:
     return write_table(pairs.join(met, ["a", "b"], "left_anti"), "substring-rest")
 
 
+def _bands(every: DataFrame) -> DataFrame:
+    """band, cid and b, the band's least class, for the bands of several classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for b in batches:
+            for part in (b.slice(i, 10_000) for i in range(0, b.num_rows, 10_000)):
+                sizes = np.diff(part.column(1).offsets.to_numpy())
+                yield [part.column(1).flatten().to_numpy(zero_copy_only=False), np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, cid = gathered(batches, np.int64, np.int64)
+        order = np.lexsort((cid, band))
+        band, cid = band[order], cid[order]
+        new = np.append(True, (band[1:] != band[:-1]) | (cid[1:] != cid[:-1]))[: len(band)]
+        band, cid = band[new], cid[new]
+        at = _groups(band)
+        sizes = np.diff(np.append(at, len(band)))
+        keep = np.repeat(sizes > 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (band, cid, np.repeat(cid[at], sizes))], names=["band", "cid", "b"])
+
+    records = every.agg(F.sum(F.size("bands"))).first()[0] or 0
+    return deal(every.select("cid", "bands"), run, parts_of(every.sparkSession, records), 2).mapInArrow(met, "band long, cid long, b long")
+
+
 def similar_classes(docs: DataFrame, every: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """(node, root) of the linked paragraph classes of ``every`` (cid, bands)."""
-    index = every.select("cid", F.explode("bands").alias("band"))
-    least = write_table(index.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("b"), F.max("cid").alias("hi")).where("b < hi").select("band", "b", "n"), "substring-bands")
-    index = write_table(join_by_class(index.where(sieve(least, "band")(F.col("band"))), least, "band", "n", every.count()).select("band", "cid", "b").distinct(), "substring-index")
+    index = write_table(_bands(every), "substring-index")
     met = write_table(index.where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "substring-met")
     links = _linked(docs, met, min_words, threshold)
     roots = write_table(connected_components(links, "substring-components"), "substring-roots")
     rest = _rest(index.select("band", "cid"), roots, met)
     if not rest.isEmpty():
         roots = write_table(connected_components(links.unionByName(_linked(docs, rest, min_words, threshold)), "substring-components"), "substring-roots")
-    release(least, index, met, links, rest)
+    release(index, met, links, rest)
     return roots
 
 

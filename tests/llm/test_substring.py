@@ -191,3 +191,21 @@ def test_clashing_columns(spark):
     got = sd.deduplicated(docs)
     assert got.columns == docs.columns
     assert {r.doc_id: tuple(r)[2:] for r in got.collect()} == {1: (3, 4, 5, "a"), 3: (3, 4, 5, "c")}
+
+
+def test_no_row_is_made_for_a_word_or_a_band(spark, monkeypatch):
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    passage = words(150)
+    rows = [(i, words(30) + " " + passage + " " + words(30)) for i in range(40)]
+    most, write = {}, sd.write_table
+
+    def counted(df, label):
+        out = write(df, label)
+        most[label] = out.count()
+        return out
+
+    monkeypatch.setattr(sd, "write_table", counted)
+    got = sd.repeated(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(got[got.keep].doc_id) == [0] and len(got) == 40 and set(got.n_words) >= {150}
+    assert max(most.values()) <= 40 * sd.tune_bands()[0]
