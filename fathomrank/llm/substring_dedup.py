@@ -417,10 +417,11 @@ def similar_classes(docs: DataFrame, every: DataFrame, min_words: int, threshold
     index = write_table(_bands(every), "substring-index")
     met = write_table(index.where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "substring-met")
     links = _linked(docs, met, min_words, threshold)
-    roots = write_table(connected_components(links, "substring-components"), "substring-roots")
+    roots = connected_components(links, "substring-components")
     rest = _rest(index.select("band", "cid"), roots, met)
     if not rest.isEmpty():
-        roots = write_table(connected_components(links.unionByName(_linked(docs, rest, min_words, threshold)), "substring-components"), "substring-roots")
+        release(roots)
+        roots = connected_components(links.unionByName(_linked(docs, rest, min_words, threshold)), "substring-components")
     release(index, met, links, rest)
     return roots
 

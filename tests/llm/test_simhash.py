@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from fathomrank import shared
 from fathomrank.llm import simhash_dedup as sh
 from fathomrank.shared import connected_components
 
@@ -121,3 +122,25 @@ def test_components_of_chains_stars_and_cycles(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in list(root)}
+
+
+def test_small_graphs_take_few_jobs(spark):
+    """Each job leaves plans, threads and broadcasts with the driver; rounds of joins took dozens over a chain of 40."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    spark.sparkContext.setJobGroup("small graph", "")
+    got = connected_components(edges, "t").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("small graph"))
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(got) == [(i, 0) for i in range(41)] and jobs <= 8
+
+
+def test_one_task_and_rounds_give_the_same_components(spark, monkeypatch):
+    r = random.Random(2)
+    ids = [r.randrange(-(2**63), 2**63) for _ in range(300)]
+    edges = spark.createDataFrame([(r.choice(ids), r.choice(ids)) for _ in range(200)], "a long, b long")
+    got = sorted(connected_components(edges, "t").collect())
+    monkeypatch.setattr(shared, "WHOLE_GRAPH", 0)
+    assert got == sorted(connected_components(edges, "t").collect()) and len(got) > 100
+    assert connected_components(edges.limit(0), "t").count() == 0
+    monkeypatch.undo()
+    assert connected_components(edges.limit(0), "t").count() == 0
