@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomrank.shared import global_index, write_table
+from fathomrank.shared import global_index, join_by_class, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -90,17 +90,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, kee
         "doc_id", *(keep or []), skey.alias("skey"), word_count(F.col("text")).alias("size"), (-F.ln(uniform(named)) / (quality_weight(F.col("text")) if quality is None else quality)).alias("key")
     )
     drawn = bucketed(write_table(drawn, "mix-drawn"))
-    sums = drawn.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = drawn.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("_n"))
     sums = write_table(sums, "mix-buckets")
     sources = targets(sums.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
+    budget = F.round("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    left = budget - epochs * F.col("source_size")
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(sources, "skey")
+    # a source's budget ends in one bucket: those before it are taken, those after it aren't, and only its rows are put in order
+    edge = F.max(F.when(F.col("before") < left, F.struct("bucket", "before"))).alias("_edge")
+    edges = write_table(offsets.groupBy("skey", "source_size", "target").agg(F.sum("_n").alias("_n"), edge), "mix-edges")
+    rows = join_by_class(drawn, edges, "skey", "_n", edges.agg(F.sum("_n")).first()[0] or 0)
+    at_edge = F.coalesce(F.col("bucket") == F.col("_edge.bucket"), F.lit(False))
     inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = drawn.withColumn("_upto", F.sum("size").over(inside)).join(offsets.select("skey", "bucket", "before", "source_size", "target"), ["skey", "bucket"])
-    budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = budget - epochs * F.col("source_size") - (F.col("before") + F.col("_upto") - F.col("size"))
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
+    rest = left - (F.col("_edge.before") + F.sum("size").over(inside) - F.col("size"))
+    ordered = rows.where(at_edge).withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), rest)))
+    others = rows.where(~at_edge).withColumn("_more", F.when(F.col("bucket") < F.col("_edge.bucket"), F.col("size")).otherwise(F.lit(0)))
+    rows = others.unionByName(ordered)
+    taken = epochs * F.col("size") + F.col("_more")
     return rows.select("doc_id", *(keep or []), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 

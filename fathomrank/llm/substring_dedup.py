@@ -540,8 +540,9 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
     maybe = sieve(changed, "thash")
     some = packed.where(maybe(F.col("thash")))
     hit = join_by_class(some, changed, "thash", "n", some.count())
-    first = hit.where("copied and doc_id <=> keeper_doc_id").withColumn("i", F.row_number().over(Window.partitionBy("thash").orderBy("doc_id"))).where("i = 1").drop("i")
-    hit = write_table(hit.where("copied is null").unionByName(first), "substring-hit")  # one Python step a task
+    hit = write_table(hit.where("copied is null or doc_id <=> keeper_doc_id"), "substring-hit")  # joined once; one Python step a task
+    first = hit.where("copied").withColumn("i", F.row_number().over(Window.partitionBy("thash").orderBy("doc_id"))).where("i = 1").drop("i")
+    hit = hit.where("copied is null").unionByName(first)
     # Spark would cut a text for the filter and again for the result, by two Python workers a task
     cut = hit.withColumn("text", _without.asNondeterministic()("text", "cuts")).where(F.col("cuts").isNull() | F.col("text").rlike(r"\S"))
     same = packed.where(~maybe(F.col("thash"))).unionByName(some.join(changed, "thash", "left_anti").select(*packed.columns))

@@ -71,6 +71,36 @@ def test_buckets_are_even_and_in_order_whatever_the_weights(spark):
     assert abs(taken[0] - taken[1]) < 1
 
 
+def few_a_bucket(monkeypatch, n):
+    bucketed = mixing.bucketed
+    monkeypatch.setattr(mixing, "bucketed", lambda drawn: bucketed(drawn, n))
+
+
+def test_any_bucket_size_takes_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(600, 4), DOCS).repartition(3)
+
+    def taken():
+        return sorted(map(str, mixing.mix(docs).collect())), sorted(map(str, mixing.mixed_documents(docs).collect()))
+
+    want = taken()  # one bucket: all rows in order
+    few_a_bucket(monkeypatch, 7)
+    assert taken() == want
+
+
+def test_texts_are_not_shuffled_where_sources_are_large(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(f"{r.randrange(10**9)}" for _ in range(150)) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[i % 2], 0, 0) for i, t in enumerate(texts)], DOCS)
+    few_a_bucket(monkeypatch, 100)
+    spark.sparkContext.setJobGroup("mix", "")
+    mixing.mixed_documents(docs).write.format("noop").mode("overwrite").save()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in tracker.getJobIdsForGroup("mix") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages) < sum(map(len, texts)) / 5
+
+
 def test_mixing_is_repeatable(docs):
     a = mixing.mix(docs).toPandas().sort_values(["doc_id", "size"]).reset_index(drop=True)
     b = mixing.mix(docs.repartition(7)).toPandas().sort_values(["doc_id", "size"]).reset_index(drop=True)
