@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomrank.functions.columns import tokens
 from fathomrank.schema import DOCUMENT, DuplicateKey, EmptyKey, NonFiniteVector, TooManyDocuments, WidthMismatch
-from fathomrank.shared import global_index, write_table
+from fathomrank.shared import global_index, small_batches, write_table
 
 MOST_DOCUMENTS = 2**32 - 1
+#: Tokens that a Python step works on at once.
+TOKENS_A_PIECE = 1 << 18
 #: A timestamp that means "absent" where the data came from a source without nulls.
 ZERO_TIME_MICROS = -62_135_596_800_000_000
 
@@ -49,6 +54,28 @@ def validate(docs: DataFrame, committed: DataFrame | None = None, already: int =
         raise WidthMismatch(f"vectors have widths {low} to {high}" + (f", the corpus has {width}" if width else ""))
 
 
+def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc, tokens) in parts of about ``TOKENS_A_PIECE`` tokens; a document is never cut."""
+    ends = b.column(1).offsets.to_numpy()[1:].astype(np.int64)
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else int(b.column(1).offsets[0].as_py())) + TOKENS_A_PIECE, side="right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in pieces(batch):
+            lists = b.column(1)
+            length = np.diff(lists.offsets.to_numpy())
+            words = lists.flatten().dictionary_encode()
+            n = max(len(words.dictionary), 1)
+            key, tf = np.unique(np.repeat(np.arange(b.num_rows), length) * n + words.indices.to_numpy(), return_counts=True)
+            row = key // n
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key % n)), b.column(0).take(pa.array(row)), pa.array(tf), pa.array(length[row].astype(np.int32))], names=["term", "doc", "tf", "length"])
+
+
 @dataclass
 class Corpus:
     """``docs`` has doc, key, text, vector, links, time; doc is dense in ingest order and breaks ties."""
@@ -71,9 +98,9 @@ class Corpus:
         return self.docs.select("doc", tokens(F.col("text")).alias("tokens"))
 
     def postings(self) -> DataFrame:
-        """(term, doc, tf, length)."""
-        terms = self.tokenized().select("doc", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        return terms.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+        """(term, doc, tf, length). A document's tokens are counted where it lies: nothing is shuffled, and a task holds a piece of a batch."""
+        small_batches(self.docs.sparkSession)
+        return self.tokenized().select(F.col("doc").cast("long").alias("doc"), "tokens").mapInArrow(_counted, "term string, doc long, tf long, length int")
 
     def document_frequency(self) -> DataFrame:
         """(term, df); repeats within a document are dropped before the shuffle."""

@@ -116,8 +116,9 @@ class Store:
         docs.write.parquet(f"{self.path}/{name}/docs")
         written = self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/{name}/docs")
         TermIndex.write(Corpus(written), f"{self.path}/{name}/terms")
-        count, total = written.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text"))).cast("long")), F.lit(0))).first()
-        return {"name": name, "base": base, "count": count, "tokens": total}
+        stored = TermIndex.read(self.spark, [f"{self.path}/{name}/terms"], 0, 0).postings
+        total = stored.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]  # each token is in one posting
+        return {"name": name, "base": base, "count": written.count(), "tokens": total}
 
     def commit(self, docs: DataFrame, order: list[str]) -> int:
         """Validate, number and append documents; the generation now current. Nothing new, nothing written."""
